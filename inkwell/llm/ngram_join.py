@@ -3,18 +3,19 @@
 Sets are ordered globally, rarest n-gram first. Two linked sets share an n-gram within their leading prefixes, so each
 set is posted under its prefix n-grams, without those that no other set has. A posting holds the few n-grams before it:
 two sets that share one of these have met already, so a set goes in full only to the groups where it meets some other for
-the first time. There the sets form a trie; one walk per set shares the partial overlaps of common beginnings and leaves a
+the first time; before that, groups compare the n-grams that come first and bitmaps that may rule a link out. There the sets form a trie; one walk per set shares the partial overlaps of common beginnings and leaves a
 subtree as soon as the lengths that remain can't give the overlap. A pair counts where its first common n-gram is the
 group's, hence once. Groups give counts and a spanning forest, never their pairs. An n-gram of many sets is
 split into blocks, and each pair of blocks is a group of its own.
 
 Equal sets are one class with a multiplicity. Texts without words have an empty set and link with nothing; null is an
-empty text; ties of rarity go by hash. N-grams are compared by 64-bit hashes.
+empty text; ties of rarity go by hash. N-grams are compared by 48-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from inkwell.llm.components import connected_components
 
 HOME_BYTES = 3 << 20
 BLOCK = 2048
-BEFORE = 4
+BEFORE = 3
 BAND = 64
+HASH_BITS = 48
 _A, _B, _C = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 
 
@@ -59,6 +61,7 @@ def shingle_sets(column, width: int):
         for k in range(starts[i], ends[i]):
             x = mix(x * _C + words[k : k + 1])
         value[out_starts[i]] = x[0]
+    value >>= np.uint64(64 - HASH_BITS)
     value[value == 0] = 1
     for a, b in zip(out_starts.tolist(), out_ends.tolist()):
         value[a:b].sort()
@@ -69,9 +72,43 @@ def shingle_sets(column, width: int):
     return value[new], bounds.astype(np.int64)
 
 
+def _bytes(values: np.ndarray) -> bytes:
+    """Each n-gram in six bytes."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _values(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _steps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Differences within each sorted set, in six bytes; the upper ones are mostly zero and compress away."""
+    d = values.copy()
+    d[1:] -= values[:-1]
+    firsts = bounds[:-1][np.diff(bounds) > 0]
+    d[firsts] = values[firsts]
+    return d.view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _unsteps(blobs: list[bytes]):
+    """(all sets end to end, their sizes)."""
+    n = np.array([len(b) // 6 for b in blobs], np.int64)
+    out = np.zeros((int(n.sum()), 8), np.uint8)
+    at = 0
+    for b, k in zip(blobs, n.tolist()):
+        out[at : at + k, :6] = np.frombuffer(b, np.uint8).reshape(6, k).T
+        at += k
+    total = np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
+    starts = np.cumsum(n) - n
+    base = np.where(starts > 0, total[starts - 1], np.uint64(0)) if len(n) else total
+    return total - np.repeat(base, n), n
+
+
 def _digests(values: np.ndarray, bounds: np.ndarray):
-    raw = values.tobytes()
-    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    raw = _bytes(values)
+    return [hashlib.blake2b(raw[6 * a : 6 * b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def _members(width: int):
@@ -88,12 +125,12 @@ def _sets(width: int, homes: int):
         seen = set()
         for b in batches:
             values, bounds = shingle_sets(b.column(0), width)
-            out = []
+            out, steps = [], _steps(values, bounds)
             for d, a, z in zip(_digests(values, bounds), bounds[:-1].tolist(), bounds[1:].tolist()):
                 if z > a and d not in seen:
                     if len(seen) < 1_000_000:  # only saves work; copies are dropped again at home
                         seen.add(d)
-                    out.append((int.from_bytes(d[:4], "little") % homes, d, values[a:z].tobytes()))
+                    out.append((int.from_bytes(d[:4], "little") % homes, d, np.ascontiguousarray(steps[a:z].T).tobytes()))
             if out:
                 h, d, s = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int32()), pa.array(d, pa.binary()), pa.array(s, pa.binary())], ["home", "dig", "grams"])
@@ -114,14 +151,13 @@ class _Home:
         for i, d in enumerate(digs):
             first.setdefault(d, i)
         self.digs = sorted(first)
-        sets = [np.frombuffer(grams[first[d]], np.uint64) for d in self.digs]
-        self.n = np.array([len(s) for s in sets], np.int64)
-        self.values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        sets = [grams[first[d]] for d in self.digs]
+        self.values, self.n = _unsteps(sets)
         self.ends = np.cumsum(self.n)
 
     def cells(self, bits: int):
         """Sorted distinct cells (leading bits) of all n-grams, and in how many sets' n-grams each occurs."""
-        c = np.sort(self.values >> np.uint64(64 - bits))
+        c = np.sort(self.values >> np.uint64(HASH_BITS - bits))
         new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         return c[new], np.diff(np.append(new, len(c)))
 
@@ -193,7 +229,7 @@ def _answer(t: pa.Table) -> pa.Table:
     code[order] = _code(total)[group]
     at, rows = 0, []
     for h, (c, _) in zip(homes, parts):
-        rows.append({"home": h, "kind": 0, "part": part, "payload": code[at : at + len(c)].tobytes()})
+        rows.append({"home": h, "kind": 0, "part": part, "payload": zlib.compress(code[at : at + len(c)].tobytes(), 1)})
         at += len(c)
     return pa.Table.from_pylist(rows, _ANSWER)
 
@@ -201,9 +237,9 @@ def _answer(t: pa.Table) -> pa.Table:
 def _codes(home: _Home, z: pa.Table, bits: int, picked: np.ndarray) -> np.ndarray:
     """The rarity code of each picked n-gram of a home."""
     own = z.filter(pa.compute.equal(z.column("kind"), 0)).sort_by("part")
-    codes = np.frombuffer(b"".join(own.column("payload").to_pylist()), np.uint8)
+    codes = np.frombuffer(b"".join(map(zlib.decompress, own.column("payload").to_pylist())), np.uint8)
     cells, _ = home.cells(bits)
-    return codes[np.searchsorted(cells, picked >> np.uint64(64 - bits))]
+    return codes[np.searchsorted(cells, picked >> np.uint64(HASH_BITS - bits))]
 
 
 def _classes(home: _Home, z: pa.Table):
@@ -233,7 +269,19 @@ def _ordered(home: _Home, codes: np.ndarray, docs: np.ndarray):
     return value, code, who, count, start, singles
 
 
-_POSTING = [("token", np.uint64), ("idx", np.uint32), ("n", np.uint32), ("pos", np.uint32), ("lo", np.uint16), ("hi", np.uint16), ("side", np.uint8)]
+#: Fields and the bytes of each that travel.
+_POSTING = [("token", np.uint64, 6), ("idx", np.uint32, 4), ("n", np.uint32, 4), ("pos", np.uint32, 4), ("lo", np.uint16, 2), ("hi", np.uint16, 2), ("side", np.uint8, 1), *((f"before{k}", np.uint64, 6) for k in range(BEFORE))]
+
+
+def _planes(f: dict, layout) -> bytes:
+    """Columns byte plane by byte plane, so that leading zeros compress away; idx, ascending, by differences."""
+    out = []
+    for k, kind, used in layout:
+        x = np.ascontiguousarray(f[k].astype(kind))
+        if k == "idx":
+            x = np.diff(x, prepend=x.dtype.type(0))
+        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :used].T).tobytes())
+    return b"".join(out)
 
 
 def _post(bits: int, parts: int, percent: int):
@@ -266,28 +314,30 @@ def _post(bits: int, parts: int, percent: int):
         lo, hi = np.minimum(mine, other).astype(np.uint16), np.maximum(mine, other).astype(np.uint16)
         side = (mine > other).astype(np.uint8)
         f = {k: v[rep] for k, v in f.items()} | {"lo": lo, "hi": hi, "side": side}
-        before = before[rep]
+        f |= {f"before{k}": before[rep, k] for k in range(BEFORE)}
         bucket = (mix(f["token"] + lo.astype(np.uint64) * _A + hi.astype(np.uint64) * _B) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(parts + 1))
         home, rows = x.column("home")[0].as_py(), []
         for p in np.flatnonzero(np.diff(edges)):
             i = order[edges[p] : edges[p + 1]]
-            rows.append({"bucket": int(p), "home": home, "payload": b"".join([*(f[k][i].astype(t).tobytes() for k, t in _POSTING), before[i].tobytes()])})
+            rows.append({"bucket": int(p), "home": home, "payload": _planes({k: v[i] for k, v in f.items()}, _POSTING)})
         return pa.Table.from_pylist(rows, schema)
 
     return run
 
 
-def _fields(blobs: list[bytes], layout, extra: int = 0):
-    width = sum(np.dtype(t).itemsize for _, t in layout) + 8 * extra
-    out = {k: [] for k, _ in layout} | {"before": [], "row": []}
+def _fields(blobs: list[bytes], layout):
+    width = sum(used for _, _, used in layout)
+    out = {k: [] for k, _, _ in layout} | {"row": []}
     for r, blob in enumerate(blobs):
         n, at = len(blob) // width, 0
-        for k, t in layout:
-            out[k].append(np.frombuffer(blob, t, n, at))
-            at += n * np.dtype(t).itemsize
-        out["before"].append(np.frombuffer(blob, np.uint64, n * extra, at).reshape(n, extra))
+        for k, kind, used in layout:
+            x = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+            x[:, :used] = np.frombuffer(blob, np.uint8, n * used, at).reshape(used, n).T
+            x = x.view(kind).ravel()
+            out[k].append(np.cumsum(x, dtype=kind) if k == "idx" else x)
+            at += n * used
         out["row"].append(np.full(n, r, np.int64))
     return {k: np.concatenate(v) for k, v in out.items()}
 
@@ -313,13 +363,14 @@ def _live_rows(n, pos, before, side, cross, percent):
     return live
 
 
-_LIVE = [("idx", np.uint32), ("token", np.uint64), ("lo", np.uint16), ("hi", np.uint16), ("side", np.uint8)]
+_LIVE = [("idx", np.uint32, 4), ("token", np.uint64, 6), ("lo", np.uint16, 2), ("hi", np.uint16, 2), ("side", np.uint8, 1)]
 
 
 def _live(percent: int):
     def run(t: pa.Table) -> pa.Table:
         homes = np.array(t.column("home").to_pylist(), np.int64)
-        f = _fields(t.column("payload").to_pylist(), _POSTING, BEFORE)
+        f = _fields(t.column("payload").to_pylist(), _POSTING)
+        before = np.stack([f[f"before{k}"] for k in range(BEFORE)], axis=1)
         order = np.lexsort((f["hi"], f["lo"], f["token"]))
         tok, lo, hi = f["token"][order], f["lo"][order], f["hi"][order]
         new = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
@@ -330,17 +381,129 @@ def _live(percent: int):
             step = max(1, 400_000 // (m * m))
             for a in range(0, len(starts), step):
                 rows = order[starts[a : a + step, None] + np.arange(m)]
-                live = _live_rows(f["n"][rows].astype(np.int64), f["pos"][rows].astype(np.int64), f["before"][rows], f["side"][rows], f["lo"][rows[:, 0]] != f["hi"][rows[:, 0]], percent)
+                live = _live_rows(f["n"][rows].astype(np.int64), f["pos"][rows].astype(np.int64), before[rows], f["side"][rows], f["lo"][rows[:, 0]] != f["hi"][rows[:, 0]], percent)
                 picked.append(rows[live])
         got = np.concatenate(picked) if picked else np.zeros(0, np.int64)
         home = homes[f["row"][got]]
-        order = np.argsort(home, kind="stable")
-        got, home = got[order], home[order]
-        out = []
-        for h in np.unique(home).tolist():
-            i = got[np.searchsorted(home, h) : np.searchsorted(home, h, "right")]
-            out.append({"home": h, "kind": 2, "part": 0, "payload": b"".join(f[k][i].astype(d).tobytes() for k, d in _LIVE)})
-        return pa.Table.from_pylist(out, _ANSWER)
+        return _live_table(f, got, home)
+
+    return run
+
+
+def _live_table(f: dict, got: np.ndarray, home: np.ndarray) -> pa.Table:
+    order = np.argsort(home, kind="stable")
+    got, home = got[order], home[order]
+    out = []
+    for h in np.unique(home).tolist():
+        i = got[np.searchsorted(home, h) : np.searchsorted(home, h, "right")]
+        out.append({"home": h, "kind": 2, "part": 0, "payload": _planes({k: f[k][i] for k, _, _ in _LIVE}, _LIVE)})
+    return pa.Table.from_pylist(out, _ANSWER)
+
+
+_SKETCH = pa.schema([("bucket", pa.int32()), ("home", pa.int32()), ("idx", pa.int64()), ("token", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("side", pa.int32()), ("n", pa.int64()), ("bits", pa.binary()), ("before", pa.binary())])
+
+
+def parity_bits(values: np.ndarray) -> np.ndarray:
+    """A bitmap of about two bits an n-gram: a bit is the parity of the n-grams that fall on it. Folding halves it."""
+    size = max(64, 1 << int(2 * len(values) - 1).bit_length())
+    place = (mix(values) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=size) & 1).astype(np.uint8))
+
+
+def may_link(n: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs' bitmaps leave room for a link: they differ in no more bits than the sets may differ in n-grams."""
+    ok = np.zeros((len(n), len(n)), bool)
+    widths = np.array([len(b) for b in bits])
+    for w in np.unique(widths).tolist():
+        mine = np.flatnonzero(widths == w)
+        wider = np.flatnonzero((widths == w) | (widths == 2 * w))  # sizes further apart can't link
+        s = np.stack([bits[j] if len(bits[j]) == w else bits[j][:w] ^ bits[j][w:] for j in wider.tolist()])
+        for i in mine.tolist():
+            total = n[wider] + n[i]
+            differ = np.bitwise_count(s ^ s[wider == i]).sum(axis=1, dtype=np.int64)
+            fits = (total - differ) // 2 >= (percent * total + 99 + percent) // (100 + percent)
+            ok[i, wider] |= fits
+            ok[wider, i] |= fits
+    ok[np.arange(len(n)), np.arange(len(n))] = False
+    return ok
+
+
+def _bucket(f: dict, parts: int) -> np.ndarray:
+    return (mix(f["token"] + f["lo"].astype(np.uint64) * _A + f["hi"].astype(np.uint64) * _B) % np.uint64(parts)).astype(np.int32)
+
+
+def _lists(h: _Home, z: pa.Table, bits: int):
+    """Of a home's live memberships: their fields, the sets concerned, which one is whose, the ordered lists, the places."""
+    f = _fields(z.filter(pa.compute.equal(z.column("kind"), 2)).column("payload").to_pylist(), _LIVE)
+    docs, at = np.unique(f["idx"].astype(np.int64), return_inverse=True)
+    sizes = h.n[docs]
+    take = np.repeat(h.ends[docs] - sizes - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    codes = np.zeros(len(h.values), np.uint8)
+    codes[take] = _codes(h, z, bits, h.values[take])
+    value, _, _, count, start, _ = _ordered(h, codes, docs)
+    lists = [value[s : s + c] for s, c in zip(start.tolist(), count.tolist())]
+    places = [int(np.flatnonzero(lists[d] == t)[0]) for d, t in zip(at.tolist(), f["token"])]
+    return f, docs, at, lists, places
+
+
+def _any_live(z: pa.Table) -> bool:
+    return bool(z.num_rows) and pa.compute.any(pa.compute.equal(z.column("kind"), 2)).as_py()
+
+
+def _sketch(bits: int, parts: int):
+    def run(x: pa.Table, z: pa.Table) -> pa.Table:
+        if not x.num_rows or not _any_live(z):
+            return _SKETCH.empty_table()
+        h = _Home(x)
+        f, docs, at, lists, places = _lists(h, z, bits)
+        marks = [parity_bits(h.values[h.ends[d] - h.n[d] : h.ends[d]]).tobytes() for d in docs.tolist()]
+        home = x.column("home")[0].as_py()
+        before = [_bytes(lists[d][:p]) for d, p in zip(at.tolist(), places)]
+        return pa.Table.from_arrays([pa.array(_bucket(f, parts)), pa.array(np.full(len(at), home, np.int32)), pa.array(docs[at]), pa.array(f["token"].view(np.int64)), pa.array(f["lo"].astype(np.int32)), pa.array(f["hi"].astype(np.int32)), pa.array(f["side"].astype(np.int32)), pa.array(h.n[docs[at]]), pa.array([marks[d] for d in at.tolist()], pa.binary()), pa.array(before, pa.binary())], schema=_SKETCH)
+
+    return run
+
+
+def _strangers(ok: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """ok without the pairs whose lists have something in common."""
+    longest = max(map(len, before))
+    if longest:
+        tokens, dense = np.unique(np.concatenate(before), return_inverse=True)
+        table = np.full((len(before), longest), len(tokens))
+        at = 0
+        for r, x in enumerate(before):
+            table[r, : len(x)] = dense[at : at + len(x)]
+            at += len(x)
+        has = np.zeros(len(tokens) + 1, bool)
+        for i in np.flatnonzero(ok.any(axis=1)).tolist():
+            has[:] = False
+            has[table[i, : len(before[i])]] = True
+            j = np.flatnonzero(ok[i])
+            ok[i, j] = ~has[table[j]].any(axis=1)
+    return ok
+
+
+def _groups(c: dict, by: str):
+    """Rows of each (token, block pair), ordered."""
+    order = np.lexsort((c[by], c["hi"], c["lo"], c["token"]))
+    key = np.stack([c["token"][order], c["lo"][order], c["hi"][order]])
+    new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+    return [order[a:z] for a, z in zip(new, np.append(new[1:], len(order))) if z - a > 1]
+
+
+def _prune(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        c = {k: np.array(t.column(k).to_pylist(), np.int64) for k in ("home", "idx", "token", "lo", "hi", "side", "n")}
+        bits, before = t.column("bits").to_pylist(), t.column("before").to_pylist()
+        live = []
+        for i in _groups(c, "idx"):
+            ok = may_link(c["n"][i], [np.frombuffer(bits[j], np.uint8) for j in i.tolist()], percent)
+            if c["lo"][i[0]] != c["hi"][i[0]]:
+                ok &= c["side"][i][:, None] != c["side"][i]
+            live.append(i[_strangers(ok, [_values(before[j]) for j in i.tolist()]).any(axis=1)])
+        got = np.concatenate(live) if live else np.zeros(0, np.int64)
+        f = {"token": c["token"].view(np.uint64)} | {k: c[k] for k in ("idx", "lo", "hi", "side")}
+        return _live_table(f, got, c["home"][got])
 
     return run
 
@@ -350,23 +513,15 @@ _SENT = pa.schema([("bucket", pa.int32()), ("token", pa.int64()), ("lo", pa.int3
 
 def _send(bits: int, parts: int):
     def run(x: pa.Table, z: pa.Table) -> pa.Table:
-        blobs = z.filter(pa.compute.equal(z.column("kind"), 2)).column("payload").to_pylist()
-        if not x.num_rows or not blobs:
+        if not x.num_rows or not _any_live(z):
             return _SENT.empty_table()
         h = _Home(x)
-        f = _fields(blobs, _LIVE)
-        docs, at = np.unique(f["idx"].astype(np.int64), return_inverse=True)
-        sizes = h.n[docs]
-        take = np.repeat(h.ends[docs] - sizes - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        codes = np.zeros(len(h.values), np.uint8)
-        codes[take] = _codes(h, z, bits, h.values[take])
-        value, _, _, count, start, _ = _ordered(h, codes, docs)
+        f, docs, at, lists, places = _lists(h, z, bits)
         rep, mult = _classes(h, z)
-        lists = [value[s : s + c] for s, c in zip(start.tolist(), count.tolist())]
-        places = [int(np.flatnonzero(lists[d] == t)[0]) for d, t in zip(at.tolist(), f["token"])]
-        bucket = (mix(f["token"] + f["lo"].astype(np.uint64) * _A + f["hi"].astype(np.uint64) * _B) % np.uint64(parts)).astype(np.int32)
+        raw = [_bytes(x) for x in lists]
+        bucket = _bucket(f, parts)
         who = docs[at]
-        return pa.Table.from_arrays([pa.array(bucket), pa.array(f["token"].view(np.int64)), pa.array(f["lo"].astype(np.int32)), pa.array(f["hi"].astype(np.int32)), pa.array(f["side"].astype(np.int32)), pa.array(rep[who]), pa.array(mult[who]), pa.array(h.n[who]), pa.array(places, pa.int32()), pa.array([lists[d].tobytes() for d in at.tolist()], pa.binary())], schema=_SENT)
+        return pa.Table.from_arrays([pa.array(bucket), pa.array(f["token"].view(np.int64)), pa.array(f["lo"].astype(np.int32)), pa.array(f["hi"].astype(np.int32)), pa.array(f["side"].astype(np.int32)), pa.array(rep[who]), pa.array(mult[who]), pa.array(h.n[who]), pa.array(places, pa.int32()), pa.array([raw[d] for d in at.tolist()], pa.binary())], schema=_SENT)
 
     return run
 
@@ -467,17 +622,11 @@ _FOUND = pa.schema([("rep", pa.int64()), ("other", pa.int64()), ("links", pa.int
 def _verify(percent: int):
     def run(t: pa.Table) -> pa.Table:
         c = {k: np.array(t.column(k).to_pylist(), np.int64) for k in ("token", "lo", "hi", "side", "rep", "mult", "n", "place")}
-        order = np.lexsort((c["rep"], c["hi"], c["lo"], c["token"]))
-        key = np.stack([c["token"][order], c["lo"][order], c["hi"][order]])
-        new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         grams = t.column("grams")
         links: dict[int, int] = {}
         pairs: list[tuple[int, int]] = []
-        for a, z in zip(new, np.append(new[1:], len(order))):
-            i = order[a:z]
-            if len(i) < 2:
-                continue
-            lists = [np.frombuffer(grams[int(j)].as_py(), np.uint64) for j in i]
+        for i in _groups(c, "rep"):
+            lists = [_values(grams[int(j)].as_py()) for j in i]
             added, edges = join_group(c["rep"][i], c["mult"][i], c["n"][i], c["side"][i], lists, c["place"][i].tolist(), bool(c["lo"][i[0]] != c["hi"][i[0]]), percent)
             for r, k in zip(c["rep"][i].tolist(), added.tolist()):
                 if k:
@@ -506,7 +655,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     size = plan_bytes(docs)
     homes = min(max(4, ceil_div(size, HOME_BYTES)), 1 << 30)
-    bits = min(64, max(36, size.bit_length() + 9))
+    bits = min(HASH_BITS, max(32, size.bit_length() + 7))
     members = settle(src.mapInArrow(_members(width), "id bigint, n bigint, dig binary"), "members")
     classes = settle(members.where("n > 0").groupBy("dig").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "classes")
     home_of = F.expr(f"cast(cast(conv(concat(substr(hex(dig),7,2),substr(hex(dig),5,2),substr(hex(dig),3,2),substr(hex(dig),1,2)),16,10) as bigint) % {homes} as int)")
@@ -516,6 +665,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     told = asked.groupBy("part").applyInArrow(_answer, _ddl(_ANSWER))
     posted = x.groupBy("home").cogroup(told.unionByName(class_rows).groupBy("home")).applyInArrow(_post(bits, homes, percent), "bucket int, home int, payload binary")
     live = posted.groupBy("bucket").applyInArrow(_live(percent), _ddl(_ANSWER))
+    sketched = x.groupBy("home").cogroup(told.unionByName(live).groupBy("home")).applyInArrow(_sketch(bits, homes), _ddl(_SKETCH))
+    live = sketched.groupBy("bucket").applyInArrow(_prune(percent), _ddl(_ANSWER))
     sent = x.groupBy("home").cogroup(told.unionByName(class_rows).unionByName(live).groupBy("home")).applyInArrow(_send(bits, homes), _ddl(_SENT))
     found = settle(sent.groupBy("bucket").applyInArrow(_verify(percent), _ddl(_FOUND)), "links")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
