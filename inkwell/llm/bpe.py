@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from contextlib import contextmanager
 from functools import lru_cache
 
 import duckdb
@@ -21,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _BYTE, _pow, extend, mix, utf8
+from inkwell.llm.common import _BYTE, _pow, extend, mix, trim, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 4 << 20
-WORDS_A_QUERY = 40_000
-KNOWN_WORDS = 2_000_000
+CHUNK = 2 << 20
+WORDS_A_QUERY = 20_000
+KNOWN_WORDS = 500_000
 _L, _N, _S, _O = 1, 2, 3, 0
 
 
@@ -100,22 +101,28 @@ ORDER BY t.w, t.pos
 """
 
 
+@lru_cache(maxsize=2)
+def _tables(path: str):
+    """Merge table, vocabulary (bytes as code points) and the ids of the single bytes; a few MB."""
+    with open(path, "rb") as f:
+        rank = {base64.b64decode(b): int(r) for b, r in map(bytes.split, f)}
+    pairs = [(rank[b[:k]], rank[b[k:]], r) for b, r in rank.items() for k in range(1, len(b)) if b[:k] in rank and b[k:] in rank]
+    l, r, m = (pa.array(x, pa.int32()) for x in zip(*pairs))
+    named = sorted((i, b.decode("latin-1")) for b, i in rank.items())
+    vocab = pa.table({"id": pa.array([i for i, _ in named], pa.int32()), "piece": pa.array([b for _, b in named])})
+    return pa.table({"l": l, "r": r, "m": m}), vocab, np.array([rank[bytes([b])] for b in range(256)], np.int32)
+
+
 class Codec:
     """A vocabulary of ranks (a .tiktoken file) loaded into an in-memory DuckDB of one thread."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.pieces = {int(r): base64.b64decode(b) for b, r in map(bytes.split, f)}
-        rank = {b: r for r, b in self.pieces.items()}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "320MB"})
-        pairs = [(rank[b[:k]], rank[b[k:]], r) for b, r in rank.items() for k in range(1, len(b)) if b[:k] in rank and b[k:] in rank]
-        l, r, m = (pa.array(x, pa.int32()) for x in zip(*pairs))
-        self.db.register("src", pa.table({"l": l, "r": r, "m": m}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM src")
-        ids = sorted(self.pieces)
-        self.db.register("src", pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array([self.pieces[i].decode("latin-1") for i in ids])}))
-        self.db.execute("CREATE TABLE vocab AS SELECT * FROM src")
-        self.byte_id = np.array([rank[bytes([b])] for b in range(256)], np.int32)
+        merges, vocab, self.byte_id = _tables(path)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
+        for name, rows in (("merges", merges), ("vocab", vocab)):
+            self.db.register("src", rows)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM src")
+            self.db.unregister("src")
         self.forget()
 
     def forget(self):
@@ -183,7 +190,7 @@ class Codec:
         """The bytes of each text of ids, by ordered aggregation. Unknown ids raise."""
         n = len(offsets) - 1
         out = [b""] * n
-        step = 400_000
+        step = 200_000
         a = 0
         while a < n:
             z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + step, "right")) - 1)
@@ -201,9 +208,16 @@ class Codec:
         return out
 
 
-@lru_cache(maxsize=2)
-def _codec(path: str) -> Codec:
-    return Codec(path)
+@contextmanager
+def _codec(path: str):
+    """A codec for one task; its memory goes back at the end."""
+    c = Codec(path)
+    try:
+        yield c
+    finally:
+        c.db.close()
+        c.forget()
+        trim()
 
 
 def _chunks(column):
@@ -218,26 +232,26 @@ def _chunks(column):
 
 def _run(path: str, keep_ids: bool, decode: bool):
     def run(batches):
-        codec = _codec(path)
-        for b in batches:
-            at = 0
-            for data, offsets in _chunks(b.column("__text")):
-                n = len(offsets) - 1
-                ids, bounds = codec.encode(data, offsets)
-                raw = ids.astype("<u4").tobytes()
-                cuts = bounds.tolist()
-                cols = [*(b.column(i).slice(at, n) for i in range(b.num_columns - 1)), pa.array(np.diff(bounds))]
-                names = [*b.schema.names[:-1], "n_tokens"]
-                cols.append(pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(cuts, cuts[1:])], pa.string()))
-                names.append("ids_sha256")
-                if decode:
-                    cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids, bounds)], pa.string()))
-                    names.append("decoded_sha256")
-                if keep_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                    names.append("ids")
-                at += n
-                yield pa.RecordBatch.from_arrays(cols, names)
+        with _codec(path) as codec:
+            for b in batches:
+                at = 0
+                for data, offsets in _chunks(b.column("__text")):
+                    n = len(offsets) - 1
+                    ids, bounds = codec.encode(data, offsets)
+                    raw = ids.astype("<u4").tobytes()
+                    cuts = bounds.tolist()
+                    cols = [*(b.column(i).slice(at, n) for i in range(b.num_columns - 1)), pa.array(np.diff(bounds))]
+                    names = [*b.schema.names[:-1], "n_tokens"]
+                    cols.append(pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(cuts, cuts[1:])], pa.string()))
+                    names.append("ids_sha256")
+                    if decode:
+                        cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in codec.decode(ids, bounds)], pa.string()))
+                        names.append("decoded_sha256")
+                    if keep_ids:
+                        cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                        names.append("ids")
+                    at += n
+                    yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -257,13 +271,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
 
 def _decode(path: str):
     def run(batches):
-        codec = _codec(path)
-        for b in batches:
-            a = b.column("ids")
-            n = np.array([0 if x is None else x for x in pa.compute.list_value_length(a).to_pylist()], np.int64)
-            flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-            raw = codec.decode(flat, np.concatenate([[0], np.cumsum(n)]))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array([x if v else None for x, v in zip(raw, a.is_valid().to_pylist())], pa.binary())], [*b.schema.names[:-1], "decoded"])
+        with _codec(path) as codec:
+            for b in batches:
+                a = b.column("ids")
+                n = np.array([0 if x is None else x for x in pa.compute.list_value_length(a).to_pylist()], np.int64)
+                flat = a.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+                raw = codec.decode(flat, np.concatenate([[0], np.cumsum(n)]))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array([x if v else None for x, v in zip(raw, a.is_valid().to_pylist())], pa.binary())], [*b.schema.names[:-1], "decoded"])
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -44,12 +45,6 @@ def extend(schema: StructType, ddl: str) -> StructType:
     return StructType(schema.fields + StructType.fromDDL(ddl).fields)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size; only sizes partitions, never results."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(size, 1 << 60)
-
-
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
 
@@ -100,6 +95,27 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches, at: int, limit: int = 2 << 20):
+    """The batches cut to rows of about `limit` bytes of text in column `at`, so that memory doesn't follow the batch size."""
+    for b in batches:
+        offsets = utf8(b.column(at))[1]
+        a, n = 0, b.num_rows
+        while a < n:
+            z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+            yield b.slice(a, z - a)
+            a = z
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back, since workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def _cuts(data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> list[int]:
     """Where to cut the bytes into segments: at text ends, and within long texts at white space."""
     cuts, at, total = [0], 0, int(offsets[-1])

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ceil_div, mix, plan_bytes, settle, utf8, word_hashes
+from inkwell.llm.common import ceil_div, mix, pieces, settle, utf8, word_hashes
 from inkwell.llm.components import connected_components
 
-HOME_BYTES = 3 << 20
+HOME_GRAMS = 650_000
 BLOCK = 2048
 BEFORE = 3
 BAND = 64
@@ -113,7 +113,7 @@ def _digests(values: np.ndarray, bounds: np.ndarray):
 
 def _members(width: int):
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 1):
             values, bounds = shingle_sets(b.column(1), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(_digests(values, bounds), pa.binary())], ["id", "n", "dig"])
 
@@ -123,7 +123,7 @@ def _members(width: int):
 def _sets(width: int, homes: int):
     def run(batches):
         seen = set()
-        for b in batches:
+        for b in pieces(batches, 0):
             values, bounds = shingle_sets(b.column(0), width)
             out, steps = [], _steps(values, bounds)
             for d, a, z in zip(_digests(values, bounds), bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -653,10 +653,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    size = plan_bytes(docs)
-    homes = min(max(4, ceil_div(size, HOME_BYTES)), 1 << 30)
-    bits = min(HASH_BITS, max(32, size.bit_length() + 7))
     members = settle(src.mapInArrow(_members(width), "id bigint, n bigint, dig binary"), "members")
+    grams = members.agg(F.sum("n")).first()[0] or 0
+    homes = max(4, ceil_div(grams, HOME_GRAMS))
+    bits = min(HASH_BITS, max(32, grams.bit_length() + 9))
     classes = settle(members.where("n > 0").groupBy("dig").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "classes")
     home_of = F.expr(f"cast(cast(conv(concat(substr(hex(dig),7,2),substr(hex(dig),5,2),substr(hex(dig),3,2),substr(hex(dig),1,2)),16,10) as bigint) % {homes} as int)")
     class_rows = classes.select(home_of.alias("home"), F.lit(1).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("payload"), "dig", "rep", "mult")

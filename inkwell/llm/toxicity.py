@@ -3,7 +3,7 @@
 A text's terms are its distinct words in lower case, and their first bytes, hashed into buckets. The machine adds a weight
 for each term and, for each pair of terms, the inner product of their factors, so that an insult beside a mention of a
 group counts for more than the sum of both. It is fitted in the driver on at most `fit_rows` labelled rows, chosen by
-hash of their id; scoring covers every text whole.
+hash of their id, and the few terms that tell most, which executors count; scoring covers every text whole.
 
 Null and empty texts have no terms and get the machine's bias as their score. Labels are never inputs of a score.
 """
@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _BYTE_LOWER, extend, utf8, word_hashes
+from inkwell.llm.common import _BYTE_LOWER, extend, pieces, settle, utf8, word_hashes
 
 BITS = 20
 HEADS = (4, 6)
 FIT_ROWS = 20_000
 TERMS = 1024
 FACTORS = 8
+LEAST_ROWS, LEAST_GAIN = 3, 2.0  # for a term to be chosen
 
 _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -67,27 +68,39 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS, epochs: int = 60, seed: int = 7) -> Machine:
-    """A machine for term buckets (distinct, per row) and 0/1 labels. Without rows, all scores are 0.5; deterministic."""
-    size, n = 1 << BITS, len(rows)
-    slot = np.full(size, -1, np.int32)
-    y = np.asarray(labels, np.float64)
+def _none(factors: int) -> Machine:
+    return Machine(np.full(1 << BITS, -1, np.int32), 0.0, np.zeros(1), np.zeros((1, factors)))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS) -> Machine:
+    """A machine for term buckets (distinct, per row) and 0/1 labels, all in memory. Without rows, all scores are 0.5."""
+    y, n = np.asarray(labels, np.float64), len(rows)
     if not n:
-        return Machine(slot, 0.0, np.zeros(1), np.zeros((1, factors)))
+        return _none(factors)
     bucket = np.concatenate(rows)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    ones, all_ = np.bincount(bucket, y[owner], size), np.bincount(bucket, minlength=size)
-    # The terms that tell most: a smoothed log-likelihood ratio of the label with and without the term.
+    ones, all_ = np.bincount(bucket, y[owner], 1 << BITS), np.bincount(bucket, minlength=1 << BITS)
     base = (y.sum() + 0.5) / (n + 1)
     rate = (ones + 2 * base) / (all_ + 2)
-    gain = np.where(all_ >= 3, ones * np.log(rate / base) + (all_ - ones) * np.log((1 - rate) / (1 - base)), 0)
+    gain = np.where(all_ >= LEAST_ROWS, ones * np.log(rate / base) + (all_ - ones) * np.log((1 - rate) / (1 - base)), 0)
     best = np.argsort(-gain, kind="stable")[:terms]
-    best = best[gain[best] > 2]
-    m = max(1, len(best))
-    slot[best] = np.arange(len(best))
-    x = np.zeros((n, m), np.float32)
-    term = slot[bucket]
-    x[owner[term >= 0], term[term >= 0]] = 1
+    slot = _slots(best[gain[best] > LEAST_GAIN])
+    return learn(slot, [slot[r][slot[r] >= 0] for r in rows], y, factors)
+
+
+def _slots(buckets) -> np.ndarray:
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[np.asarray(buckets, np.int64)] = np.arange(len(buckets))
+    return slot
+
+
+def learn(slot: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 60, seed: int = 7) -> Machine:
+    """Weights and factors of the chosen terms (numbers, per row) by Adam on the logistic loss; deterministic."""
+    y, n, m = np.asarray(labels, np.float64), len(rows), max(1, int(slot.max()) + 1)
+    base = (y.sum() + 0.5) / (n + 1)
+    x = np.zeros((n, m), np.uint8)
+    for i, r in enumerate(rows):
+        x[i, r] = 1
     rng = np.random.default_rng(seed)
     params = [np.full(1, np.log(base / (1 - base)), np.float32), np.zeros(m, np.float32), rng.normal(0, 0.02, (m, factors)).astype(np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -96,7 +109,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors:
         order = rng.permutation(n)
         for a in range(0, n, batch):
             i = order[a : a + batch]
-            bx = x[i]
+            bx = x[i].astype(np.float32)
             bias, w, v = params
             s = bx @ v
             z = bias + bx @ w + 0.5 * ((s * s).sum(axis=1) - bx @ (v * v).sum(axis=1))
@@ -114,7 +127,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors:
 
 
 def _rows(batches):
-    for b in batches:
+    for b in pieces(batches, 1):
         bucket, owner, n = text_terms(b.column("text"))
         out = []
         order = np.argsort(owner, kind="stable")
@@ -131,15 +144,50 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
         chosen = chosen.where(train_where)
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = some.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_rows, "label int, terms binary").toPandas()
-    order = sorted(range(len(got)), key=lambda i: (got.terms[i], got.label[i]))
-    return fit([np.frombuffer(got.terms[i], np.int32) for i in order], np.array([got.label[i] for i in order]))
+    rows = settle(some.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_rows, "label int, terms binary"), "labelled")
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not n:
+        return _none(FACTORS)
+    # The terms that tell most: a smoothed log-likelihood ratio of the label with and without the term.
+    base = (ones + 0.5) / (n + 1)
+    rate = (F.col("ones") + 2 * base) / (F.col("rows") + 2)
+    gain = F.col("ones") * F.ln(rate / base) + (F.col("rows") - F.col("ones")) * F.ln((1 - rate) / (1 - base))
+    counts = rows.mapInArrow(_counts, "bucket int, ones bigint, rows bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("rows").alias("rows"))
+    best = counts.where(F.col("rows") >= LEAST_ROWS).withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "bucket").limit(TERMS).collect()
+    slot = _slots([r.bucket for r in best])
+    got = rows.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(slot)), "label int, terms binary").toPandas().sort_values(["terms", "label"])
+    return learn(slot, [np.frombuffer(t, np.int32) for t in got.terms], got.label.to_numpy())
+
+
+def _counts(batches):
+    ones, rows = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for b in batches:
+        for y, t in zip(b.column("label").to_pylist(), b.column("terms").to_pylist()):
+            t = np.frombuffer(t, np.int32)
+            rows[t] += 1
+            ones[t] += y
+    at = np.flatnonzero(rows)
+    for a in range(0, len(at), 50_000):
+        i = at[a : a + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(ones[i]), pa.array(rows[i])], ["bucket", "ones", "rows"])
+
+
+def _chosen(slot):
+    def run(batches):
+        for b in batches:
+            out = []
+            for t in b.column("terms").to_pylist():
+                s = slot.value[np.frombuffer(t, np.int32)]
+                out.append(s[s >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(out, pa.binary())], ["label", "terms"])
+
+    return run
 
 
 def _score(machine):
     def run(batches):
         m = machine.value
-        for b in batches:
+        for b in pieces(batches, -1):
             s = m.scores(*text_terms(b.column(b.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
 
