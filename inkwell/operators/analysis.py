@@ -178,14 +178,49 @@ def news2vec_graph(tfidf: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, node_values(tfidf).unionByName(nodes.select("id", F.col("word").alias("value")))
 
 
-def entity_dag(df: DataFrame, max_position: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(articles, edges old_id, new_id, entity, entity_type): an edge leads to the next story sharing exactly that set of entities."""
-    flat = df.select("id", "publish_date", F.inline("entities")).where(F.col("position") < max_position).select("id", "publish_date", "entity", F.col("type").alias("entity_type")).distinct()
-    old = flat.select(F.col("id").alias("old_id"), F.col("publish_date").alias("old_date"), "entity", "entity_type")
-    new = flat.select(F.col("id").alias("new_id"), F.col("publish_date").alias("new_date"), "entity", "entity_type")
-    pairs = old.join(new, ["entity", "entity_type"]).where("old_date < new_date")
-    shared = pairs.groupBy("old_id", "new_id").agg(F.sort_array(F.collect_set(F.struct("entity", "entity_type"))).alias("entities"), F.first("old_date").alias("old_date"), F.first("new_date").alias("new_date"))
-    first = shared.groupBy("old_id", "entities").agg(F.min(F.struct(F.datediff("new_date", "old_date").alias("days"), "new_id")).alias("m"))
+HOT = 256  # articles of an entity from which on its pairs are no longer listed
+
+
+def entity_dag(df: DataFrame, max_position: int = 1000, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(articles, edges old_id, new_id, entity, entity_type): an edge leads to the next story sharing exactly that set of entities.
+
+    Pairs are listed only of entities of at most `hot` articles. Two articles that share none of those but some hot ones are
+    compared by what hot entities they have: candidates for one set are ranked by day and id, and an old story takes the first
+    rank after its own day that isn't a listed pair. Candidates of the same day are joined, since their times decide.
+    """
+    flat = df.select("id", "publish_date", F.inline("entities")).where(F.col("position") < max_position).where("publish_date is not null and entity is not null and type is not null")
+    flat = flat.select("id", F.col("publish_date").alias("date"), F.struct("entity", F.col("type").alias("entity_type")).alias("e")).distinct()
+    marked = flat.join(flat.groupBy("e").agg((F.count("*") > hot).alias("hot")), "e")
+    none = F.array().cast("array<struct<entity:string,entity_type:string>>")
+    stories = marked.where("hot").groupBy("id", "date").agg(F.sort_array(F.collect_list("e")).alias("has"))
+
+    cold = marked.where("not hot")
+    old, new = (cold.select(F.col("id").alias(f"{k}_id"), F.col("date").alias(f"{k}_date"), "e") for k in ("old", "new"))
+    listed = old.join(new, "e").where("old_date < new_date").groupBy("old_id", "new_id").agg(F.collect_list("e").alias("cold"), F.datediff(F.first("new_date"), F.first("old_date")).alias("days"))
+    for k in ("old", "new"):
+        listed = listed.join(stories.select(F.col("id").alias(f"{k}_id"), F.col("has").alias(f"{k}_has")), f"{k}_id", "left")
+    listed = listed.withColumn("shared", F.sort_array(F.array_intersect(F.coalesce("old_has", none), F.coalesce("new_has", none))))
+    by_cold = listed.select("old_id", "new_id", "days", F.sort_array(F.concat("cold", "shared")).alias("entities"))
+
+    # Hot entities alone: `has` is what the old story has, `shared` what a candidate has of it.
+    kinds = stories.select("has").distinct().select("has", F.explode("has").alias("e"))
+    match = kinds.join(kinds.withColumnRenamed("has", "other"), "e").groupBy("has", "other").agg(F.sort_array(F.collect_list("e")).alias("shared"))
+    olds = stories.join(match.select("has", "shared").distinct(), "has").select(F.col("id").alias("old_id"), F.col("date").alias("old_date"), F.to_date("date").alias("day"), "has", "shared")
+    found = stories.withColumnRenamed("has", "other").join(match, "other").select(F.col("id").alias("new_id"), F.col("date").alias("new_date"), F.to_date("date").alias("day"), "has", "shared")
+    within = Window.partitionBy("has", "shared")
+    ranked = found.withColumn("rank", F.row_number().over(within.orderBy("day", "new_id")))
+    both = olds.withColumn("one", F.lit(0)).unionByName(found.select("day", "has", "shared", F.lit(1).alias("one")), allowMissingColumns=True)
+    placed = both.withColumn("past", F.sum("one").over(within.orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow))).where("one = 0")
+    taken = listed.where("size(shared) > 0").select("old_id", "new_id", F.col("old_has").alias("has"), "shared").join(ranked.select("new_id", "has", "shared", "rank"), ["new_id", "has", "shared"])
+    taken = taken.groupBy("old_id", "shared").agg(F.sort_array(F.collect_list("rank")).alias("taken"))
+    after = F.filter(F.coalesce("taken", F.array().cast("array<int>")), lambda r: r > F.col("past"))
+    run = F.size(F.filter(after, lambda r, i: r == F.col("past") + 1 + i))  # listed pairs in a row from the first rank on
+    placed = placed.join(taken, ["old_id", "shared"], "left").select("old_id", "old_date", "has", "shared", (F.col("past") + 1 + run).cast("int").alias("rank"))
+    later = placed.join(ranked.select("has", "shared", "rank", "new_id", "new_date"), ["has", "shared", "rank"])
+    today = olds.join(found, ["has", "shared", "day"]).where("old_date < new_date").join(listed, ["old_id", "new_id"], "left_anti")
+    by_hot = later.unionByName(today, allowMissingColumns=True).select("old_id", "new_id", F.datediff("new_date", "old_date").alias("days"), F.col("shared").alias("entities"))
+
+    first = by_cold.unionByName(by_hot).groupBy("old_id", "entities").agg(F.min(F.struct("days", "new_id")).alias("m"))
     edges = first.select("old_id", F.col("m.new_id").alias("new_id"), F.inline("entities"))
     return df.select("id", "url", "text", "title", "publish_date"), edges
 

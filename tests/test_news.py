@@ -1,6 +1,8 @@
 """The news operators on small hand-made frames, and their registered queries against SQL."""
 
 import gzip
+import itertools
+import random
 from datetime import date, datetime
 
 import duckdb
@@ -110,6 +112,31 @@ def test_story_graph(spark):
     assert analysis.single_edges(edges).where("old_id = 1 and new_id = 2").first().entity == "b"
 
 
+@pytest.mark.parametrize("hot", [0, 3, 12, 10**6])
+def test_story_graph_with_hot_entities_equals_brute_force(spark, hot):
+    rng = random.Random(5)
+    rows = []
+    for i in range(70):
+        names = [n for n, p in (("all", 1), ("most", 0.8), ("third", 0.33), ("some", 0.15)) if rng.random() < p] + rng.sample([f"rare{k}" for k in range(25)], 2)
+        rows.append((i, "t", "x", "u", datetime(2024, 1, rng.randint(1, 12), rng.randint(0, 3)) if i else None, [(n, "N", k) for k, n in enumerate(names)]))
+    want = {}
+    for a, b in itertools.permutations(rows[1:], 2):
+        both = frozenset(e[0] for e in a[5]) & {e[0] for e in b[5]}
+        if a[4] < b[4] and both:
+            key = (b[4].date() - a[4].date(), b[0])
+            want[a[0], both] = min(want.get((a[0], both), key), key)
+    want = sorted((a, m[1], e) for (a, both), m in want.items() for e in both)
+    df = spark.createDataFrame(rows, ARTICLE + ", entities array<struct<entity:string,type:string,position:int>>")
+    assert sorted((r.old_id, r.new_id, r.entity) for r in analysis.entity_dag(df, hot=hot)[1].collect()) == want
+
+
+def test_story_graph_lists_no_pairs_of_a_hot_entity(spark):
+    n = 20_000
+    df = spark.range(n).select("id", F.lit("t").alias("title"), F.lit("x").alias("text"), F.lit("u").alias("url"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(cast(id as int), 0, 0, 0)").alias("publish_date"), F.expr("array(named_struct('entity', 'all', 'type', 'N', 'position', 0))").alias("entities"))
+    edges = analysis.entity_dag(df)[1]
+    assert edges.agg(F.count("*"), F.min(F.expr("new_id - old_id")), F.max(F.expr("new_id - old_id"))).first()[:] == (n - 1, 1, 1)
+
+
 def test_entities(spark, arts):
     found = analysis.extract_entities(arts.where("id = 1"), lambda a, b: [("Peru", "GPE", 3), ("Peru", "GPE", 1), ("U.S.", "GPE", 0)])
     rows = analysis.first_mentions(analysis.blacklist(analysis.explode_entities(found), [r"^U\."]))
