@@ -3,7 +3,8 @@
 A text's terms are its distinct words in lower case, and their first bytes, hashed into buckets. The machine adds a weight
 for each term and, for each pair of terms, the inner product of their factors, so that an insult beside a mention of a
 group counts for more than the sum of both. It is fitted in the driver on at most `fit_rows` labelled rows, chosen by
-hash of their id, and the few terms that tell most, which executors count; scoring covers every text whole.
+hash of their id, and every bucket that at least LEAST_ROWS of them have, so that terms which tell only in a pair take
+part too; scoring covers every text whole.
 
 Null and empty texts have no terms and get the machine's bias as their score. Labels are never inputs of a score.
 """
@@ -17,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _BYTE_LOWER, extend, pieces, settle, utf8, word_hashes
+from inkwell.llm.common import _BYTE_LOWER, ceil_div, extend, pieces, settle, utf8, word_hashes
 
 BITS = 20
 HEADS = (4, 6)
 FIT_ROWS = 20_000
-TERMS = 1024
 FACTORS = 8
-LEAST_ROWS, LEAST_GAIN = 3, 2.0  # for a term to be chosen
+LEAST_ROWS = 3  # for a term to be learnt from
+LEAD, LEAD_GAIN = 1024, 2.0  # terms that are fitted first
+EPOCHS, RATE, EPS, START = (40, 15), 0.02, 1e-2, 0.01  # EPS holds rare terms back
 
 _BREAKS = np.ones(256, bool)
 _BREAKS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -72,7 +74,7 @@ def _none(factors: int) -> Machine:
     return Machine(np.full(1 << BITS, -1, np.int32), 0.0, np.zeros(1), np.zeros((1, factors)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors: int = FACTORS) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS) -> Machine:
     """A machine for term buckets (distinct, per row) and 0/1 labels, all in memory. Without rows, all scores are 0.5."""
     y, n = np.asarray(labels, np.float64), len(rows)
     if not n:
@@ -80,12 +82,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, factors:
     bucket = np.concatenate(rows)
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     ones, all_ = np.bincount(bucket, y[owner], 1 << BITS), np.bincount(bucket, minlength=1 << BITS)
-    base = (y.sum() + 0.5) / (n + 1)
-    rate = (ones + 2 * base) / (all_ + 2)
-    gain = np.where(all_ >= LEAST_ROWS, ones * np.log(rate / base) + (all_ - ones) * np.log((1 - rate) / (1 - base)), 0)
-    best = np.argsort(-gain, kind="stable")[:terms]
-    slot = _slots(best[gain[best] > LEAST_GAIN])
-    return learn(slot, [slot[r][slot[r] >= 0] for r in rows], y, factors)
+    slot, lead = _order(np.arange(1 << BITS), ones, all_, y.sum(), n)
+    return learn(slot, [slot[r][slot[r] >= 0] for r in rows], y, factors, lead)
+
+
+def _order(bucket, ones, rows, toxic, n) -> tuple[np.ndarray, int]:
+    """(slots of the buckets of at least LEAST_ROWS rows, how many come first): those that tell most by themselves do.
+
+    They go by a smoothed log-likelihood ratio of the label with and without the term.
+    """
+    base = (toxic + 0.5) / (n + 1)
+    rate = (ones + 2 * base) / (rows + 2)
+    gain = ones * np.log(rate / base) + (rows - ones) * np.log((1 - rate) / (1 - base))
+    order = np.argsort(-gain, kind="stable")
+    order = order[rows[order] >= LEAST_ROWS]
+    return _slots(bucket[order]), int((gain[order[:LEAD]] > LEAD_GAIN).sum())
 
 
 def _slots(buckets) -> np.ndarray:
@@ -94,36 +105,51 @@ def _slots(buckets) -> np.ndarray:
     return slot
 
 
-def learn(slot: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = 60, seed: int = 7) -> Machine:
-    """Weights and factors of the chosen terms (numbers, per row) by Adam on the logistic loss; deterministic."""
-    y, n, m = np.asarray(labels, np.float64), len(rows), max(1, int(slot.max()) + 1)
+def learn(slot: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, lead: int = 0, epochs: tuple[int, int] = EPOCHS, seed: int = 7) -> Machine:
+    """Weights and factors of the terms (numbers, per row) by Adam on the logistic loss; deterministic.
+
+    The first `lead` terms are fitted alone, then all together: what those explain isn't put down to the many others.
+    A step costs what its rows hold, however many terms there are: only the terms of its rows move.
+    """
+    y, n, m = np.asarray(labels, np.float32), len(rows), max(1, int(slot.max()) + 1)
     base = (y.sum() + 0.5) / (n + 1)
-    x = np.zeros((n, m), np.uint8)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
     rng = np.random.default_rng(seed)
-    params = [np.full(1, np.log(base / (1 - base)), np.float32), np.zeros(m, np.float32), rng.normal(0, 0.02, (m, factors)).astype(np.float32)]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    step, batch = 0, 256
-    for _ in range(epochs):
+    bias = np.full(1, np.log(base / (1 - base)), np.float32)
+    p = np.concatenate([np.zeros((m, 1), np.float32), rng.normal(0, START, (m, factors)).astype(np.float32)], axis=1)  # weight, factors
+    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (bias, p)]
+    decay = np.array([2e-5] + [2e-4] * factors, np.float32)
+    step, batch = 0, max(1, min(256, ceil_div(n, 12)))
+
+    def move(x, grad, m1, m2):
+        m1 = 0.9 * m1 + 0.1 * grad
+        m2 = 0.999 * m2 + 0.001 * grad * grad
+        return x - RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + EPS), m1, m2
+
+    alone = [r[r < lead] for r in rows]
+    for use in [alone] * epochs[0] + [rows] * epochs[1]:
         order = rng.permutation(n)
         for a in range(0, n, batch):
             i = order[a : a + batch]
-            bx = x[i].astype(np.float32)
-            bias, w, v = params
-            s = bx @ v
-            z = bias + bx @ w + 0.5 * ((s * s).sum(axis=1) - bx @ (v * v).sum(axis=1))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]).astype(np.float32) / len(i)
-            gx = bx.T @ g
-            grads = [g.sum(keepdims=True), gx + 2e-5 * w, bx.T @ (g[:, None] * s) - v * gx[:, None] + 2e-4 * v]
+            some = [use[k] for k in i.tolist()]
+            owner, term = np.repeat(np.arange(len(i)), [len(r) for r in some]), np.concatenate(some)
+            by = np.argsort(term, kind="stable")
+            term, owner = term[by], owner[by]
+            start = np.flatnonzero(np.diff(term, prepend=-1))
+            seen = term[start]
+            q = p[seen]
+            each = np.repeat(np.arange(len(seen)), np.diff(start, append=len(term)))
+            s = np.stack([np.bincount(owner, c[each], len(i)) for c in q.T], axis=1)
+            squares = np.bincount(owner, (q[:, 1:] ** 2).sum(axis=1)[each], len(i))
+            z = bias[0] + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(axis=1) - squares)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / len(i)
             step += 1
-            for p, grad, (m1, m2) in zip(params, grads, moments):
-                m1 *= 0.9
-                m1 += 0.1 * grad
-                m2 *= 0.999
-                m2 += 0.001 * grad * grad
-                p -= 0.02 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return Machine(slot, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
+            bias, *moments[0] = move(bias, np.float32(g.sum()), *moments[0])
+            if len(seen):
+                s[:, 0] = 1
+                grad = np.add.reduceat((g[:, None] * s).astype(np.float32)[owner], start, axis=0)
+                grad[:, 1:] -= q[:, 1:] * grad[:, :1]
+                p[seen], moments[1][0][seen], moments[1][1][seen] = move(q, grad + decay * q, moments[1][0][seen], moments[1][1][seen])
+    return Machine(slot, float(bias[0]), p[:, 0].copy(), p[:, 1:].copy())
 
 
 def _rows(batches):
@@ -148,15 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
         return _none(FACTORS)
-    # The terms that tell most: a smoothed log-likelihood ratio of the label with and without the term.
-    base = (ones + 0.5) / (n + 1)
-    rate = (F.col("ones") + 2 * base) / (F.col("rows") + 2)
-    gain = F.col("ones") * F.ln(rate / base) + (F.col("rows") - F.col("ones")) * F.ln((1 - rate) / (1 - base))
     counts = rows.mapInArrow(_counts, "bucket int, ones bigint, rows bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("rows").alias("rows"))
-    best = counts.where(F.col("rows") >= LEAST_ROWS).withColumn("gain", gain).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "bucket").limit(TERMS).collect()
-    slot = _slots([r.bucket for r in best])
+    counts = counts.where(F.col("rows") >= LEAST_ROWS).orderBy("bucket").toPandas()
+    slot, lead = _order(*(counts[c].to_numpy() for c in ("bucket", "ones", "rows")), ones, n)
     got = rows.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(slot)), "label int, terms binary").toPandas().sort_values(["terms", "label"])
-    return learn(slot, [np.frombuffer(t, np.int32) for t in got.terms], got.label.to_numpy())
+    return learn(slot, [np.frombuffer(t, np.int32) for t in got.terms], got.label.to_numpy(), lead=lead)
 
 
 def _counts(batches):

@@ -226,6 +226,16 @@ def test_machine_learns_pairs_that_no_sum_can():
         assert ((s >= 0.5) == y).mean() > 0.9
 
 
+def test_machine_fits_terms_that_tell_only_in_a_pair():
+    x = np.random.default_rng(0).random((3000, 30)) < 0.5
+    y = (x[:, 0] ^ x[:, 1]).astype(int)
+    rows = [np.flatnonzero(r) for r in x]
+    m = toxicity.fit(rows[:2000], y[:2000])
+    s = m.scores(np.concatenate(rows), np.repeat(np.arange(3000), [len(r) for r in rows]), 3000)
+    assert (m.slot[:2] >= 0).all()
+    assert ((s >= 0.5) == y)[2000:].mean() > 0.9
+
+
 def test_toxicity_finds_insults(spark):
     rng = random.Random(2)
     clean = [" ".join(rng.choices(WORDS, k=30)) for _ in range(300)]
