@@ -5,7 +5,9 @@ before and after it, and what kind of element holds it. A decision tree, grown a
 labelled pages below, says which blocks are main text. Word counts and densities alone can't tell a one-line paragraph
 from a one-line advert, hence the element features.
 
-Null and empty pages have an empty text. Unclosed, truncated and wrongly nested mark-up is read as far as it goes.
+Null and empty pages have an empty text. Unclosed, truncated and wrongly nested mark-up is read as far as it goes: a head
+ends at the first thing that isn't of a head, an element that isn't text with its parent. An unclosed comment, script or
+style goes to the page's end, as in browsers.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import extend
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|math|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+# A head holds only these; it ends at whatever else comes, closed or not.
+_HEAD = re.compile(r"<head\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:\s++|<title\b[^>]*+>(?:(?:(?!<body\b|</head\b).)*?</title\s*>|[^<]*+)|<(noscript|template|svg|iframe|object)\b[^>]*+>(?:(?!<body\b|</head\b).)*?</\1\s*>|</?(?:base|basefont|bgsound|link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>)*+(?:</head\s*>)?", re.S | re.I)
+_UNREAD = frozenset("noscript template svg iframe object select textarea math".split())  # not text; one that isn't closed ends with its parent
+_MODIFIER = re.compile(r"(?<!\S)(?:has|no|not|with|without)[-_]\S*", re.I)  # says what an element has, not what it is
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTR = re.compile(r"\b(?:class|id|role|hidden|aria-label|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\bhidden\b", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
@@ -35,10 +41,10 @@ _WIDTH = 10
 
 def blocks(html: str, marks: bool = False):
     """[(text, words, words in links, chrome, article, heading, mark)] of a page, in order. mark: that of training pages."""
-    html = _DROP.sub(" ", html)
+    html = _HEAD.sub(" ", _DROP.sub(" ", html), count=1)
     out, parts, words, linked, in_link = [], [], 0, 0, 0
     stack: list[tuple[str, int, int, str]] = [("", 0, 0, "")]  # name, chrome, article, mark
-    heading = 0
+    heading = unread = 0  # unread: place on the stack of the outermost element that isn't read
 
     def flush():
         nonlocal parts, words, linked
@@ -51,7 +57,7 @@ def blocks(html: str, marks: bool = False):
 
     at = 0
     for m in _TAG.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not unread:
             piece = html[at : m.start()]
             parts.append(piece)
             n = len(piece.split())
@@ -60,6 +66,25 @@ def blocks(html: str, marks: bool = False):
                 linked += n
         at = m.end()
         close, name, attrs = m.group(1), m.group(2).lower(), m.group(3)
+        if unread:
+            k = next((k for k in range(len(stack) - 1, unread - 1, -1) if stack[k][0] == name), 0) if close else 0
+            if k:
+                del stack[k:]
+                unread = 0 if k == unread else unread
+                continue
+            if name in ("body", "head") or close and (name in _BLOCK if name not in _HOLDERS else any(s[0] == name for s in stack)):  # the parent's end
+                del stack[unread:]
+                unread = 0
+            else:
+                if not close and name in _BLOCK | _HOLDERS | _UNREAD and name != "hr" and not attrs.endswith("/"):
+                    stack.append((name, *stack[-1][1:]))
+                continue
+        if name in _UNREAD:
+            if not close and not attrs.endswith("/"):
+                parts.append(" ")
+                unread = len(stack)
+                stack.append((name, *stack[-1][1:]))
+            continue
         if name == "a":
             in_link = 0 if close else 1
             continue
@@ -83,16 +108,16 @@ def blocks(html: str, marks: bool = False):
                         break
             elif not attrs.endswith("/"):
                 _, chrome, article, mark = stack[-1]
-                hints = [x.group(1) or "hidden" for x in _ATTR.finditer(attrs)] if attrs else []
+                hints = [_MODIFIER.sub(" ", (x.group(1) or "hidden").strip("\"'")) for x in _ATTR.finditer(attrs)] if attrs else []
                 is_article = name in ("article", "main")
-                bad = name in _CHROME and not (name == "header" and article) or any(_HINT.search(h.strip("\"'")) for h in hints) and not (name == "body" or is_article)
-                good = is_article or any(_GOOD.search(h.strip("\"'")) for h in hints) and not bad
+                bad = name in _CHROME and not (name == "header" and article) or any(_HINT.search(h) for h in hints) and not (name == "body" or is_article)
+                good = is_article or any(_GOOD.search(h) for h in hints) and not bad
                 if bad and name not in _BLOCK:
                     flush()
                 if marks:
                     mark = "1" if "data-keep" in attrs else "0" if "data-drop" in attrs else mark
                 stack.append((name, 1 if bad or chrome else 0, 1 if (good or article) and not bad else 0, mark))
-    if at < len(html):
+    if at < len(html) and not unread:
         tail = html[at:]
         cut = re.search(r"<[a-zA-Z/!][^<>]*\Z", tail)  # a tag that the page's end cuts
         tail = tail[: cut.start()] if cut else tail

@@ -323,6 +323,20 @@ def test_html_main_text(spark):
     assert [r.n_chars for r in rows] == [len(r.text) for r in rows]
 
 
+def test_html_unclosed_elements_and_modifiers():
+    story = "<article><h1>Head line</h1><p>Hi there all"
+    want = "Head line\nHi there all"
+    for head in ("<head><title>T</title>", "<head><meta charset=x><title>T</title><link href='a'><script>'<p>'</script>", "<head><noscript><img></noscript><title>T</title></head>", "<head><title>T", "<head><noscript><title>T</title>"):
+        assert html_text.main_text(f"<html>{head}<body>{story}") == want, head
+    assert html_text.main_text(f"<head><title>T</title>{story}") == want
+    for name in ("noscript", "svg", "object", "select", "iframe", "template", "textarea", "math"):
+        for page in (f"<div><{name}>x</div>{story}", f"{story} <{name}>x</{name}></p></article>", f"{story}</p><div><{name}><p>x</div></article><div><{name}>y</{name}></div>", f"{story}<{name}>x</p></article>"):
+            assert html_text.main_text(page) == want, page
+    long = " ".join(["Words of the story that is told here."] * 5)
+    for kind in ("content has-sidebar", "post no-comments", "with-menu entry"):
+        assert html_text.main_text(f"<div class='{kind}'><p>{long}</p><p>{long}</p></div>") == f"{long}\n{long}", kind
+
+
 # --- licenses
 
 
