@@ -80,7 +80,7 @@ def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
-_IBAN_LENGTH = dict(x.split(":") for x in "AT:20 BE:16 CH:21 CZ:24 DE:22 DK:18 ES:24 FI:18 FR:27 GB:22 IE:22 IT:27 LU:20 NL:18 NO:15 PL:28 PT:25 SE:24".split())
+_IBAN_LENGTH = dict((x[:2], x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split())
 
 
 def _iban(text: str, key: bytes) -> str | None:
@@ -105,10 +105,17 @@ def _ssn(text: str, key: bytes) -> str | None:
     return f"{area + 1 + (area >= 665):03d}{text[3]}{g:02d}{text[6]}{s:04d}"
 
 
+_TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())  # country codes of two digits
+
+
 def _phone(text: str, key: bytes) -> str | None:
     d = _digits(text)
     country = len(d) - 10 if text[0] == "+" or len(d) == 11 else 0
-    if len(d) - country != 10:
+    if text[0] == "+" and not 1 <= country <= 3:
+        if not 8 <= len(d) <= 15:
+            return None
+        country = 1 if d[0] in "17" else 2 if d[:2] in _TWO else 3
+    elif len(d) - country != 10:
         return None
     return _refill(text, d[:country] + _number(d[country:], key, "phone" + d[:country]))
 
@@ -167,9 +174,24 @@ _FIND = re.compile(
     r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
     r"|(?P<date>(?<![0-9A-Za-z.\-/])(?:[0-9]{4}([-/.])[0-9]{2}\5[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\6[0-9]{4})(?![0-9A-Za-z]))"
     r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}|1)[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9]{11,13}(?![0-9A-Za-z]))"
+    r"|(?P<phone>(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}|1)[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9])*(?![0-9A-Za-z]))"
     r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
 )
+_PART = re.compile(r"[0-9]+")
+
+
+def _shorter(kind: str, old: str):
+    """A match, then what it may have swallowed more than: its beginnings, longest first, that end where a group of digits does."""
+    yield old
+    if kind == "iban":
+        size, ends = int(_IBAN_LENGTH.get(old[:2], 0)), [i + 1 for i, c in enumerate(old) if c != " "]
+        if 0 < size < len(ends) and old[ends[size - 1]] == " ":
+            yield old[: ends[size - 1]]
+    elif kind == "card" or kind == "phone" and old[0] == "+":
+        for m in reversed(list(_PART.finditer(old))[:-1]):
+            yield old[: m.end()]
+
+
 _MAYBE = re.compile(r"[0-9@]")
 
 
@@ -179,17 +201,28 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
     if not _MAYBE.search(text):
         return text, counts
 
-    def put(m):
-        kind, old = m.lastgroup, m.group()
-        new = _MAKERS[kind](old, key)
-        if new is None and kind == "iban":  # not one: a card number may hide in it
-            return old[:2] + _FIND.sub(put, old[2:]) if _MAYBE.search(old) else old
-        if new is None:
-            return old
+    out, done, at = [], 0, 0
+    while m := _FIND.search(text, at):
+        start, kind, new = m.start(), m.lastgroup, None
+        for old in _shorter(kind, m.group()):
+            new = _MAKERS[kind](old, key)
+            if new is not None:
+                break
+        if new is None and kind == "iban":  # not one: a number may follow its letters
+            inner = _FIND.match(text[start + 2 : start + 80])
+            if inner and inner.lastgroup not in ("iban", "email"):
+                start, kind = start + 2, inner.lastgroup
+                for old in _shorter(kind, inner.group()):
+                    new = _MAKERS[kind](old, key)
+                    if new is not None:
+                        break
+        if new is None:  # what begins later may still be one
+            at = m.start() + 1
+            continue
         counts[kind] = counts.get(kind, 0) + 1
-        return new
-
-    return _FIND.sub(put, text), counts
+        out += [text[done:start], new]
+        done = at = start + len(old)
+    return "".join([*out, text[done:]]), counts
 
 
 def _run(key: bytes):

@@ -211,6 +211,15 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonyms(frame(spark, [])).count() == 0
 
 
+def test_pseudonyms_beside_other_digits():
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    for text, old, kind in [(f"{card} 12/27", card, "card"), (f"{card} 123", card, "card"), ("3 4111111111111111", "4111111111111111", "card"), (f"12 34 56 {card}", card, "card"), (f"7 {card} 12-27", card, "card"), (f"{iban} I paid", iban, "iban"), ("DE89 3704 0044 0532 0130 00 EUR 50", "DE89 3704 0044 0532 0130 00", "iban"), ("GR1601101250000000012300695", "GR1601101250000000012300695", "iban"), ("+44 20 7946 0958", "7946 0958", "phone"), ("+33 1 42 68 53 00 2024-01-05", "42 68 53 00", "phone"), ("+49 (30) 901820", "901820", "phone")]:
+        new, counts = pii.pseudonymise(f"a {text}, b")
+        assert old not in new and counts.get(kind) == 1 and len(new) == len(text) + 5, (text, new, counts)
+        assert new.startswith("a ") and new.endswith(text[text.index(old) + len(old) :] + ", b") or kind == "phone", new
+    assert pii.pseudonymise("no 4111111111111112 or 1234 5678") == ("no 4111111111111112 or 1234 5678", {})
+
+
 # --- toxicity
 
 
