@@ -22,9 +22,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group; documents without an id stay. An id that repeats keeps one row."""
-    kept = ngram_join.ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """Keeps the document of the smallest id of each group, one without an id only where none has one.
+
+    Rows are told apart by id and text, so a repeated id drops nothing that differs; of equal rows one stays.
+    """
+    rows = docs.withColumn("__row", F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    joined = ngram_join.ngram_jaccard_join(rows, id_col="__row").select("__row", "component_id").distinct()
+    first = rows.select("doc_id", "__row").join(joined, "__row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("m"))
+    return rows.join(first.select("m.__row"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -648,7 +648,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles (A-Z as a-z;
     with fewer words the whole sequence is the one shingle). n_similar counts the other documents linked directly,
     component_id is the smallest id reachable, the own one included. Rows with a null id are left out; repeated ids count
-    as separate documents. Other columns of docs are not looked at.
+    as separate documents: classes of equal sets go by the first 64 bits of their digest, not by an id. Other columns of docs are not looked at.
     """
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
@@ -657,7 +657,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grams = members.agg(F.sum("n")).first()[0] or 0
     homes = max(4, ceil_div(grams, HOME_GRAMS))
     bits = min(HASH_BITS, max(32, grams.bit_length() + 9))
-    classes = settle(members.where("n > 0").groupBy("dig").agg(F.min("id").alias("rep"), F.count("*").alias("mult")), "classes")
+    classes = settle(members.where("n > 0").groupBy("dig").agg(F.min("id").alias("least"), F.count("*").alias("mult")).withColumn("rep", F.expr("cast(conv(hex(substr(dig, 1, 8)), 16, -10) as bigint)")), "classes")
     home_of = F.expr(f"cast(cast(conv(concat(substr(hex(dig),7,2),substr(hex(dig),5,2),substr(hex(dig),3,2),substr(hex(dig),1,2)),16,10) as bigint) % {homes} as int)")
     class_rows = classes.select(home_of.alias("home"), F.lit(1).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("payload"), "dig", "rep", "mult")
     x = src.select("text").mapInArrow(_sets(width, homes), "home int, dig binary, grams binary")
@@ -671,5 +671,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = settle(sent.groupBy("bucket").applyInArrow(_verify(percent), _ddl(_FOUND)), "links")
     links = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null"), "rep", "other")
-    of_class = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("dig", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("dig", "least", F.coalesce("component", "rep").alias("component"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"))
+    of_class = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("dig", "n_similar", "component_id")
     return members.join(of_class, "dig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("component_id", "id").alias("component_id"))

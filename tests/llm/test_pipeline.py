@@ -26,6 +26,19 @@ def test_stages(spark):
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+    from inkwell.llm.ngram_join import ngram_jaccard_join
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (5, b), (None, c), (None, c), (None, a), (7, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in p.near_copies(spark, docs, SF).collect())
+    assert got == [(0, c), (3, a), (5, b), (7, ""), (8, "")]
+    out = sorted((r.doc_id, r.n_similar, r.component_id) for r in ngram_jaccard_join(docs.limit(3)).collect())
+    assert out == [(3, 1, 3), (5, 0, 5), (5, 1, 3)]
+
+
 def test_run(spark):
     import corpus_pipeline as p
 
