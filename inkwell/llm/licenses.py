@@ -62,10 +62,12 @@ STEPS = (
     (r"\b(version|ver|v) ?([0-9])", "version {2}"),
     (r"\bbusiness interruptions\b", "business interruption"),
 )
+# A licence's own words may be wrapped before "copyright notice" or "copyright holder"; the SQL can't look ahead and drops such lines.
+STATEMENT = (r"(^|\n)[^a-z0-9\n]*(copyright(?![^a-z0-9]+(?:notices?|holders?|owners?)\b(?! *:))|\(c\)|\x{a9}|all rights reserved)[^\n]*", "\n")
 
 
 def _python_steps():
-    return [(re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", r"\\x\1", p), re.A), r.replace("{1}", r"\1").replace("{2}", r"\2")) for p, r in STEPS]
+    return [(re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", r"\\x\1", p), re.A), r.replace("{1}", r"\1").replace("{2}", r"\2")) for p, r in (STATEMENT, *STEPS[1:])]
 
 
 def canonical(text: str) -> str:
@@ -89,7 +91,7 @@ def known_digests() -> list[tuple[str, str, int, bool]]:
 
 def canonical_column(text):
     c = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    for p, r in STEPS:
+    for p, r in (STATEMENT, *STEPS[1:]):
         c = F.regexp_replace(c, p, r.replace("{1}", "$1").replace("{2}", "$2"))
     return F.trim(c, F.lit(" \n"))
 

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -349,6 +350,20 @@ def test_html_unclosed_elements_and_modifiers():
 # --- licenses
 
 
+def test_wrapped_licenses(spark):
+    names, texts = [], []
+    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause"):
+        for width in (*range(40, 81, 4), 72, 79):
+            for mark in ("", "# ", " * "):
+                parts = [textwrap.wrap(x, width, break_long_words=False) for x in licenses.KNOWN[name][0].split("\n\n")]
+                lines = ["Copyright (c) 2020 Jo Doe", "copyright 2021, 2022 The Authors", "Copyright by Jo", *(line for p in parts for line in ["", *p])]
+                names.append(name)
+                texts.append("\n".join(mark + x for x in lines))
+    isc = licenses.KNOWN["ISC"][0].replace("that the above copyright notice", "that the above\ncopyright notice")
+    rows = sorted(licenses.license_scan(frame(spark, [*texts, isc])).collect())
+    assert [r.license for r in rows] == [*names, "ISC"]
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"][0]
     texts = [mit, "Copyright (c) 2020 A. Nyone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE"), "story\nReleased under the MIT Licence.\nend", None, "", mit + " more", "© 1999 X\nLicensed under CC BY-NC 4.0"]
