@@ -302,16 +302,19 @@ def score_batches(df: DataFrame, scorer, column: str, output: str) -> DataFrame:
 
 
 def find_topics(df: DataFrame, k: int = 10, words_each: int = 10, seed: int = 7) -> DataFrame:
-    """(topic, word, weight) of a topic model over the tokens of title and text; words in over 90 % of articles are left out."""
+    """(topic, word, weight) of a topic model over the tokens of title and text; words in over 90 % of articles or in only one are left out.
+
+    The driver holds the other words, however many, and their weights.
+    """
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     rows = df.withColumn("tokens", T.tokens(T.all_text(F.col("title"), F.col("text")))).where("size(tokens) > 0")
-    vocabulary = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=1 << 14, minDF=2, maxDF=0.9).fit(rows)
+    vocabulary = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=(1 << 31) - 1, minDF=2, maxDF=0.9).fit(rows)
     model = LDA(k=k, seed=seed, maxIter=5, optimizer="online").fit(vocabulary.transform(rows))
-    named = F.array(*map(F.lit, vocabulary.vocabulary))
+    names = df.sparkSession.createDataFrame(list(enumerate(vocabulary.vocabulary)), "termIndices int, word string")
     zipped = F.inline(F.arrays_zip("termIndices", "termWeights"))
-    return model.describeTopics(words_each).select("topic", zipped).select("topic", F.get(named, F.col("termIndices")).alias("word"), F.col("termWeights").alias("weight"))
+    return model.describeTopics(words_each).select("topic", zipped).join(names, "termIndices").select("topic", "word", F.col("termWeights").alias("weight"))
 
 
 def batches(df: DataFrame, max_rows: int, key: str = "id") -> DataFrame:

@@ -137,6 +137,16 @@ def test_story_graph_lists_no_pairs_of_a_hot_entity(spark):
     assert edges.agg(F.count("*"), F.min(F.expr("new_id - old_id")), F.max(F.expr("new_id - old_id"))).first()[:] == (n - 1, 1, 1)
 
 
+def test_topics_know_every_word(spark):
+    def name(i):  # letters only, so that a word is one token
+        return "zq" + "".join(chr(97 + int(c)) for c in str(i))
+
+    n = 17_000
+    rows = [(i, "", " ".join(name(k) for k in range(i % 100, n, 100)), "u", datetime(2024, 1, 1)) for i in range(200)]
+    topics = analysis.find_topics(spark.createDataFrame(rows, ARTICLE), k=2, words_each=n)
+    assert topics.where("topic = 0").select("word").distinct().count() == n
+
+
 def test_entities(spark, arts):
     found = analysis.extract_entities(arts.where("id = 1"), lambda a, b: [("Peru", "GPE", 3), ("Peru", "GPE", 1), ("U.S.", "GPE", 0)])
     rows = analysis.first_mentions(analysis.blacklist(analysis.explode_entities(found), [r"^U\."]))
