@@ -2,7 +2,8 @@
 
 Texts are cut by the tokenizer's pattern. Every distinct piece becomes token-position rows; a recursive query joins
 neighbouring tokens with the merge table and contracts each piece's leftmost pair of least rank, until no pair is in the
-table. Ids are gathered back to texts; decoding joins ids with the vocabulary and aggregates their bytes in order.
+table. Pieces are told apart by their bytes. A long piece is contracted at all occurrences of its least pair at a time and
+cut where no contraction can reach, so that its time doesn't follow the square of its length. Ids are gathered back to texts; decoding joins ids with the vocabulary and aggregates their bytes in order.
 
 Null texts encode as empty ones. Special tokens are never produced. The pattern must be the GPT-2 one; its classes are
 taken from the Unicode database by the `regex` library, so that cutting is a few array operations a text.
@@ -22,11 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _BYTE, _pow, extend, mix, trim, utf8
+from inkwell.llm.common import Distinct, _spread, extend, trim, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = 2 << 20
 WORDS_A_QUERY = 20_000
+LONG = 200  # bytes of a piece from which on a step contracts all occurrences of its least pair
+ROWS_A_QUERY = 400_000
+MEMORY_MB = 160
 KNOWN_WORDS = 500_000
 _L, _N, _S, _O = 1, 2, 3, 0
 
@@ -99,13 +103,36 @@ WITH RECURSIVE t AS (
 SELECT t.w, t.tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) e ON t.w = e.w AND t.step = e.step
 ORDER BY t.w, t.pos
 """
+# The same for long pieces: a step contracts every occurrence of a piece's least pair, of those that overlap the first,
+# third and so on. Pairs that a contraction makes rank after it, so that is what leftmost contractions come to.
+_ROUNDS = """
+WITH RECURSIVE t AS (
+  SELECT w, 0 AS step, pos, tok, nxt, npos FROM start
+  UNION ALL
+  (WITH c AS MATERIALIZED (SELECT t.w, t.step, t.pos AS p, t.npos AS q, m.m FROM t JOIN merges m ON m.l = t.tok AND m.r = t.nxt WHERE t.step < {steps}),
+   least AS MATERIALIZED (SELECT w, min(m) AS m FROM c GROUP BY w),
+   f AS (SELECT c.w, c.p, c.q, c.m, lag(c.q) OVER (PARTITION BY c.w ORDER BY c.p) IS DISTINCT FROM c.p AS head FROM c JOIN least ON c.w = least.w AND c.m = least.m),
+   g AS (SELECT *, sum(head::INT) OVER (PARTITION BY w ORDER BY p) AS run FROM f),
+   s AS MATERIALIZED (SELECT w, p, q, m FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY p) AS place FROM g) WHERE place % 2 = 1)
+  SELECT t.w, t.step + 1, t.pos, coalesce(b.m, t.tok), coalesce(n.m, t.nxt), coalesce(n.q, t.npos)
+  FROM t JOIN least ON t.w = least.w LEFT JOIN s a ON t.w = a.w AND t.pos = a.p LEFT JOIN s b ON t.w = b.w AND t.pos = b.q LEFT JOIN s n ON t.w = n.w AND t.npos = n.p
+  WHERE a.p IS NULL)
+)
+SELECT t.w, t.pos, t.tok FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) e ON t.w = e.w AND t.step = e.step
+ORDER BY t.w, t.pos
+"""
+
+
+@lru_cache(maxsize=2)
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(b): int(r) for b, r in map(bytes.split, f)}
 
 
 @lru_cache(maxsize=2)
 def _tables(path: str):
     """Merge table, vocabulary (bytes as code points) and the ids of the single bytes; a few MB."""
-    with open(path, "rb") as f:
-        rank = {base64.b64decode(b): int(r) for b, r in map(bytes.split, f)}
+    rank = _ranks(path)
     pairs = [(rank[b[:k]], rank[b[k:]], r) for b, r in rank.items() for k in range(1, len(b)) if b[:k] in rank and b[k:] in rank]
     l, r, m = (pa.array(x, pa.int32()) for x in zip(*pairs))
     named = sorted((i, b.decode("latin-1")) for b, i in rank.items())
@@ -113,99 +140,188 @@ def _tables(path: str):
     return pa.table({"l": l, "r": r, "m": m}), vocab, np.array([rank[bytes([b])] for b in range(256)], np.int32)
 
 
+def _pair_keys(l, r) -> np.ndarray:
+    return np.asarray(l, np.int64) << 32 | np.asarray(r, np.int64)
+
+
+@lru_cache(maxsize=1)
+def _alive(path: str) -> np.ndarray:
+    """Sorted keys of the pairs of ids that lie side by side in some id's bytes. Between others no contraction ever reaches."""
+    rank = _ranks(path)
+    parts = {b[i:k] for b in rank for i in range(len(b)) for k in range(i + 2, len(b) + 1)}
+    return np.unique(np.array([rank[s[:j]] << 32 | rank[s[j:]] for s in parts for j in range(1, len(s)) if s[:j] in rank and s[j:] in rank], np.int64))
+
+
+@lru_cache(maxsize=1)
+def _ordered(path: str) -> bool:
+    """Whether each id comes of two others by contractions that all rank before it. Then no contraction makes a pair of lesser rank."""
+    rank = _ranks(path)
+    name = {i: b for b, i in rank.items()}
+    for b, r in rank.items():
+        t = [b[i : i + 1] for i in range(len(b))]
+        while len(t) > 1:
+            best = min((rank.get(x + y, r + 1), i) for i, (x, y) in enumerate(zip(t, t[1:])))
+            if best[0] > r or (best[0] == r and len(t) > 2):
+                return False
+            t[best[1] : best[1] + 2] = [name[best[0]]]
+    return True
+
+
+def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys
+
+
 class Codec:
-    """A vocabulary of ranks (a .tiktoken file) loaded into an in-memory DuckDB of one thread."""
+    """A vocabulary of ranks (a .tiktoken file) loaded into an in-memory DuckDB of one thread, which never writes to disk."""
 
     def __init__(self, path: str):
         merges, vocab, self.byte_id = _tables(path)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
+        self.path = path
+        self.pairs = np.sort(_pair_keys(merges.column("l").to_numpy(), merges.column("r").to_numpy()))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         for name, rows in (("merges", merges), ("vocab", vocab)):
             self.db.register("src", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM src")
             self.db.unregister("src")
+        self.known = Distinct()
         self.forget()
 
     def forget(self):
-        self.known, self.at, self.count, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known.forget()
+        self.at, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _start(self, w, pos, tok):
+        """Token-position rows: each with its right neighbour in its word, -1 where there is none."""
+        nxt, npos = np.full(len(tok), -1, np.int32), np.full(len(tok), -1, np.int64)
+        inner = np.append(w[1:] == w[:-1], False) if len(w) else np.zeros(0, bool)
+        nxt[:-1], npos[:-1] = tok[1:], pos[1:]
+        nxt[~inner], npos[~inner] = -1, -1
+        self.db.register("start", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int64), "tok": tok.astype(np.int32), "nxt": nxt, "npos": npos}))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all given byte pieces, end to end; number of ids of each)."""
-        all_ids, counts = [], np.zeros(len(starts), np.int64)
-        for a in range(0, len(starts), WORDS_A_QUERY):
-            s, e = starts[a : a + WORDS_A_QUERY], ends[a : a + WORDS_A_QUERY]
-            size = e - s
-            w = np.repeat(np.arange(len(s)), size)
-            base = np.cumsum(size) - size
-            pos = np.arange(int(size.sum())) - base[w]
-            tok = self.byte_id[data[np.repeat(s - base, size) + np.arange(int(size.sum()))]]
-            nxt = np.full(len(tok), -1, np.int32)
-            inner = pos + 1 < size[w]
-            nxt[:-1] = tok[1:]
-            nxt[~inner] = -1
-            self.db.register("start", pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "tok": tok, "nxt": nxt, "npos": np.where(inner, pos + 1, -1).astype(np.int32)}))
-            got = self.db.execute(_RECURSION).fetchnumpy()
-            self.db.unregister("start")
-            all_ids.append(np.asarray(got["tok"]).astype(np.uint32))
-            counts[a : a + len(s)] = np.bincount(np.asarray(got["w"]), minlength=len(s))
-        return (np.concatenate(all_ids) if all_ids else np.zeros(0, np.uint32)), counts
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        size = ends - starts
+        long = np.flatnonzero(size > LONG)
+        if len(long) and not _ordered(self.path):
+            long = long[:0]
+        short = np.setdiff1d(np.arange(len(size)), long)
+        got = []
+        for a in range(0, len(short), WORDS_A_QUERY):
+            k = short[a : a + WORDS_A_QUERY]
+            n, tok = size[k], self.byte_id[data[_spread(starts[k], size[k])]]
+            w = np.repeat(np.arange(len(k)), n)
+            self._start(w, np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n), tok)
+            out = self.db.execute(_RECURSION).fetchnumpy()
+            got.append((k[np.asarray(out["w"])], np.asarray(out["tok"])))
+        if len(long):
+            n = size[long]
+            w, tok = self._contract(np.repeat(np.arange(len(long)), n), self.byte_id[data[_spread(starts[long], n)]])
+            got.append((long[w], tok))
+        owner, tok = (np.concatenate(x) for x in zip(*got))
+        order = np.argsort(owner, kind="stable")
+        return tok[order].astype(np.uint32), np.bincount(owner, minlength=len(starts))
+
+    def _contract(self, w: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for long pieces, some steps at a time: (piece, id) in order.
+
+        Between the queries pieces are cut where no contraction can reach, and those without a pair of the merge table set aside.
+        """
+        place, done, word = np.arange(len(w)), [], w
+        while len(tok):
+            cut = np.ones(len(tok), bool)
+            cut[1:] = (word[1:] != word[:-1]) | ~_among(_pair_keys(tok[:-1], tok[1:]), _alive(self.path))
+            word = np.cumsum(cut) - 1
+            joins = np.zeros(word[-1] + 1, bool)
+            joins[word[:-1][~cut[1:] & _among(_pair_keys(tok[:-1], tok[1:]), self.pairs)]] = True
+            ended = ~joins[word]
+            done.append((place[ended], w[ended], tok[ended]))
+            w, tok, place, word = w[~ended], tok[~ended], place[~ended], word[~ended]
+            if not len(tok):
+                break
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(word))))
+            out, a = [], 0
+            while a < len(first):  # as many words as one query takes
+                z = min(len(first), max(a + 1, int(np.searchsorted(first, first[a] + ROWS_A_QUERY, "right")) - 1)) if first[-1] > first[a] + ROWS_A_QUERY else len(first)
+                i = slice(first[a], first[z] if z < len(first) else len(tok))
+                rows = i.stop - i.start
+                self._start(number[i] - a, place[i], tok[i])
+                self.db.execute(f"SET memory_limit = '{max(MEMORY_MB, rows // 2000)}MB'")
+                got = self.db.execute(_ROUNDS.format(steps=max(1, ROWS_A_QUERY // rows))).fetchnumpy()
+                out.append((np.asarray(got["pos"]), np.asarray(got["tok"])))
+                a = z
+            at, tok = (np.concatenate(x) for x in zip(*out))
+            kept = np.searchsorted(place, at)
+            w, word, place = w[kept], word[kept], at
+        place, w, tok = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(place)
+        return w[order], tok[order]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end to end; n+1 offsets). data: UTF-8 bytes; offsets: of the texts in it."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if len(data) > 2 * CHUNK and len(cuts := _stops(data, offsets)) > 2:
+            parts = [self.encode(data[a:z], np.array([0, z - a])) for a, z in zip(cuts, cuts[1:])]
+            total = np.cumsum([0, *(len(ids) for ids, _ in parts)])
+            return np.concatenate([ids for ids, _ in parts]), total[np.searchsorted(cuts, offsets)]
         text = data.tobytes().decode("utf-8")
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         lead = np.flatnonzero((data & 0xC0) != 0x80)  # byte of each code point
         filled = offsets[:-1][np.diff(offsets) > 0]
         starts = lead[piece_starts(points, np.searchsorted(lead, filled))]
         ends = np.append(starts[1:], len(data))
-        p, inv = _pow(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * p[: len(data)], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
-        del sums
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        where = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        inside = where < len(self.known)
-        new[inside] = self.known[where[inside]] != distinct[inside]
-        if new.any():
-            fresh, n = self.words(data, starts[first[new]], ends[first[new]])
-            if len(self.known) + len(n) > KNOWN_WORDS and not new.all():
-                self.forget()
-                return self.encode(data, offsets)
-            at = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, fresh])
-            order = np.argsort(np.concatenate([self.known, distinct[new]]), kind="stable")
-            self.known, self.at, self.count = (np.concatenate([x, y])[order] for x, y in ((self.known, distinct[new]), (self.at, at), (self.count, n)))
-            where = np.searchsorted(self.known, distinct)
-        where = where[which]
-        count = self.count[where]
-        done = np.cumsum(count)
-        ids = self.ids[np.repeat(self.at[where] - (done - count), count) + np.arange(int(done[-1]))]
-        before = np.concatenate([[0], done])
+        del text, points, lead
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        which = self.known.numbers(data, starts, ends)
+        if len(self.known) > len(self.at):
+            a = self.known.at[len(self.at) :]
+            fresh, n = self.words(self.known.data, a, a + self.known.size[len(self.at) :])
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+            self.count, self.ids = np.concatenate([self.count, n]), np.concatenate([self.ids, fresh])
+        count = self.count[which]
+        ids = self.ids[_spread(self.at[which], count)]
+        before = np.concatenate([[0], np.cumsum(count)])
         return ids, before[np.searchsorted(starts, offsets, "left")]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each text of ids, by ordered aggregation. Unknown ids raise."""
-        n = len(offsets) - 1
-        out = [b""] * n
-        step = 200_000
+        n, step = len(offsets) - 1, 200_000
+        out: list[list[bytes]] = [[] for _ in range(n)]
+        bounds = np.unique(np.concatenate([offsets, *(np.arange(a, z, step) for a, z in zip(offsets[:-1], offsets[1:]) if z - a > step)]))
+        owner = np.searchsorted(offsets, bounds[:-1], "right") - 1
         a = 0
-        while a < n:
-            z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + step, "right")) - 1)
-            part = ids[offsets[a] : offsets[z]]
-            if len(part):
-                doc = np.repeat(np.arange(a, z), np.diff(offsets[a : z + 1]))
-                self.db.register("given", pa.table({"doc": doc, "pos": np.arange(len(part)), "id": part.astype(np.int32)}))
-                rows = self.db.execute("SELECT doc, string_agg(piece, '' ORDER BY pos), count(piece) FROM given LEFT JOIN vocab USING (id) GROUP BY doc").fetchall()
-                self.db.unregister("given")
-                if sum(r[2] for r in rows) != len(part):
-                    raise ValueError("ids that the vocabulary lacks")
-                for d, s, _ in rows:
-                    out[d] = s.encode("latin-1")
+        while a < len(owner):
+            z = max(a + 1, int(np.searchsorted(bounds, bounds[a] + step, "right")) - 1)
+            part = ids[bounds[a] : bounds[z]]
+            doc = np.repeat(np.arange(a, z), np.diff(bounds[a : z + 1]))
+            self.db.register("given", pa.table({"doc": doc, "pos": np.arange(len(part)), "id": part.astype(np.int32)}))
+            rows = self.db.execute("SELECT doc, string_agg(piece, '' ORDER BY pos), count(piece) FROM given LEFT JOIN vocab USING (id) GROUP BY doc ORDER BY doc").fetchall()
+            self.db.unregister("given")
+            if sum(r[2] for r in rows) != len(part):
+                raise ValueError("ids that the vocabulary lacks")
+            for d, s, _ in rows:
+                out[owner[d]].append(s.encode("latin-1"))
             a = z
-        return out
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+def _stops(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places about CHUNK bytes apart, and all of offsets, at which a piece surely begins: blanks after what isn't white space."""
+    blank = (data == 0x20) | (data == 0x0A)
+    after = blank[1:] & (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+    letters = np.flatnonzero(blank[1:] & (data[:-1] >= 0x80)) + 1
+    good = [np.flatnonzero(after) + 1]
+    if not len(good[0]) and len(letters):  # the character before may be a white space itself
+        raw = data.tobytes()
+        good = [np.array([k for k in letters.tolist() if not raw[max(0, k - 4) : k].decode("utf-8", "ignore")[-1:].isspace()], np.int64)]
+    good = good[0]
+    picked = good[np.minimum(np.searchsorted(good, np.arange(CHUNK, len(data), CHUNK)), len(good) - 1)] if len(good) else good
+    return np.unique(np.concatenate([offsets, picked]))
 
 
 @contextmanager

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import os
 import shutil
 import tempfile
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder from spark.checkpoint.dir; where unset (tests), a temporary one of this process."""
+    """The cluster's folder from spark.checkpoint.dir; where unset, a temporary one of this process, on a local master only."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="inkwell-"))
         atexit.register(shutil.rmtree, _own_dir[0], True)
@@ -139,6 +142,122 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> list[int]
     return cuts
 
 
+def _starts_ends(part: np.ndarray, inner: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes begin and end; inner: ends of texts among them."""
+    edge = np.zeros(len(part) + 1, bool)
+    edge[inner] = True
+    word = ~separators[part]
+    first = word.copy()
+    first[1:] &= ~word[:-1] | edge[1:-1]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class Distinct:
+    """Numbers byte strings, equal ones alike. A 64-bit hash finds a string's place and its bytes are compared there, so
+    strings that share a hash are told apart."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self):
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.data, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clashes: dict[bytes, int] = {}
+
+    def __len__(self):
+        return len(self.at)
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size, base = ends - starts, len(self.data)
+        number = len(self.at) + np.arange(len(size))
+        self.at = np.concatenate([self.at, base + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.data = np.concatenate([self.data, data[_spread(starts, size)]])
+        return number
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        p, inv = _pow(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * p[: len(data)], out=sums[1:])
+        size = ends - starts
+        h = mix((sums[ends] - sums[starts]) * inv[starts] + size.astype(np.uint64))
+        del sums
+        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        where = np.searchsorted(self.hash, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = where < len(self.hash)
+        new[inside] = self.hash[where[inside]] != distinct[inside]
+        if new.any():
+            number = self._add(data, starts[first[new]], ends[first[new]])
+            order = np.argsort(np.concatenate([self.hash, distinct[new]]), kind="stable")
+            self.hash, self.number = np.concatenate([self.hash, distinct[new]])[order], np.concatenate([self.number, number])[order]
+            where = np.searchsorted(self.hash, distinct)
+        out = self.number[where][which]
+        same = self.size[out] == size
+        odd = np.flatnonzero(~same)
+        i = np.flatnonzero(same)
+        for a in range(0, len(i), 200_000):
+            k = i[a : a + 200_000]
+            differ = np.flatnonzero(data[_spread(starts[k], size[k])] != self.data[_spread(self.at[out[k]], size[k])])
+            if len(differ):
+                odd = np.concatenate([odd, k[np.unique(np.searchsorted(np.cumsum(size[k]), differ, "right"))]])
+        for k in odd.tolist():
+            raw = data[starts[k] : ends[k]].tobytes()
+            if raw not in self.clashes:
+                self.clashes[raw] = int(self._add(data, starts[k : k + 1], ends[k : k + 1])[0])
+            out[k] = self.clashes[raw]
+        return out
+
+
+def _spread(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the given stretches, one after another."""
+    total = int(size.sum())
+    return np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(total)
+
+
+_LONG_WORD = 64
+
+
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of each word: its bytes, eight at a time, each time spread over all bits; of a word of more than 64 bytes a
+    cryptographic digest. Words of one length up to eight never share theirs."""
+    size = ends - starts
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    out = mix(size.astype(np.uint64) + _P)
+    long = size > _LONG_WORD
+    some = np.flatnonzero(~long)
+    k = 0
+    while len(some):
+        rest = size[some] - 8 * k
+        block = eights[starts[some] + 8 * k].view(np.uint64).ravel()
+        cut = rest < 8
+        block[cut] &= (np.uint64(1) << (8 * rest[cut]).astype(np.uint64)) - np.uint64(1)
+        out[some] = mix(out[some] ^ block) + _P
+        k += 1
+        some = some[rest > 8]
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit digest, text index) of each word, in order: words as those of word_hashes, digests that don't add up letter by letter."""
+    digests, owners = [], []
+    cuts = _cuts(data, offsets, _WHITE)
+    for a, b in zip(cuts, cuts[1:]):
+        part = _LOWER[data[a:b]]
+        inner = offsets[np.searchsorted(offsets, a, "left") : np.searchsorted(offsets, b, "left")] - a
+        starts, ends = _starts_ends(part, inner, _WHITE)
+        if len(starts):
+            digests.append(_digests(part, starts, ends))
+            owners.append(np.searchsorted(offsets, starts + a, "right") - 1)
+    if not digests:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(digests), np.concatenate(owners)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _WHITE, values: np.ndarray = _BYTE_LOWER, heads: tuple[int, ...] = ()):
     """(64-bit hash, text index) of each word, in order. A word is a longest run of non-separator bytes of one text; A-Z count as a-z.
 
@@ -149,14 +268,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray =
     for a, b in zip(cuts, cuts[1:]):
         part = data[a:b]
         inner = offsets[np.searchsorted(offsets, a, "left") : np.searchsorted(offsets, b, "left")] - a
-        edge = np.zeros(b - a + 1, bool)
-        edge[inner] = True
-        word = ~separators[part]
-        first = word.copy()
-        first[1:] &= ~word[:-1] | edge[1:-1]
-        last = word.copy()
-        last[:-1] &= ~word[1:] | edge[1:-1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        starts, ends = _starts_ends(part, inner, separators)
         if not len(starts):
             continue
         p, inv = _pow(b - a)

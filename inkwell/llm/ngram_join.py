@@ -9,7 +9,7 @@ group's, hence once. Groups give counts and a spanning forest, never their pairs
 split into blocks, and each pair of blocks is a group of its own.
 
 Equal sets are one class with a multiplicity. Texts without words have an empty set and link with nothing; null is an
-empty text; ties of rarity go by hash. N-grams are compared by 48-bit hashes.
+empty text; ties of rarity go by hash. N-grams are compared by 64 bits made of digests of their words.
 """
 
 from __future__ import annotations
@@ -22,21 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import ceil_div, mix, pieces, settle, utf8, word_hashes
+from inkwell.llm.common import ceil_div, mix, pieces, settle, utf8, word_digests
 from inkwell.llm.components import connected_components
 
 HOME_GRAMS = 650_000
 BLOCK = 2048
 BEFORE = 3
 BAND = 64
-HASH_BITS = 48
+HASH_BITS = 64
 _A, _B, _C = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
 
 
 def shingle_sets(column, width: int):
     """(set of each text as sorted distinct hashes, all in one array; n+1 offsets)."""
     data, offsets = utf8(column)
-    words, owner = word_hashes(data, offsets)
+    words, owner = word_digests(data, offsets)
     count = len(offsets) - 1
     n_words = np.bincount(owner, minlength=count) if len(owner) else np.zeros(count, np.int64)
     ends = np.cumsum(n_words)
@@ -61,8 +61,7 @@ def shingle_sets(column, width: int):
         for k in range(starts[i], ends[i]):
             x = mix(x * _C + words[k : k + 1])
         value[out_starts[i]] = x[0]
-    value >>= np.uint64(64 - HASH_BITS)
-    value[value == 0] = 1
+    value[value == 0] = 1  # 0 stands for none
     for a, b in zip(out_starts.tolist(), out_ends.tolist()):
         value[a:b].sort()
     doc = np.repeat(np.arange(count), size)
@@ -73,32 +72,29 @@ def shingle_sets(column, width: int):
 
 
 def _bytes(values: np.ndarray) -> bytes:
-    """Each n-gram in six bytes."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    return np.ascontiguousarray(values).tobytes()
 
 
 def _values(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(raw, np.uint64)
 
 
 def _steps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Differences within each sorted set, in six bytes; the upper ones are mostly zero and compress away."""
+    """Differences within each sorted set, by bytes; the upper ones are mostly zero and compress away."""
     d = values.copy()
     d[1:] -= values[:-1]
     firsts = bounds[:-1][np.diff(bounds) > 0]
     d[firsts] = values[firsts]
-    return d.view(np.uint8).reshape(-1, 8)[:, :6]
+    return d.view(np.uint8).reshape(-1, 8)
 
 
 def _unsteps(blobs: list[bytes]):
     """(all sets end to end, their sizes)."""
-    n = np.array([len(b) // 6 for b in blobs], np.int64)
+    n = np.array([len(b) // 8 for b in blobs], np.int64)
     out = np.zeros((int(n.sum()), 8), np.uint8)
     at = 0
     for b, k in zip(blobs, n.tolist()):
-        out[at : at + k, :6] = np.frombuffer(b, np.uint8).reshape(6, k).T
+        out[at : at + k] = np.frombuffer(b, np.uint8).reshape(8, k).T
         at += k
     total = np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
     starts = np.cumsum(n) - n
@@ -108,7 +104,7 @@ def _unsteps(blobs: list[bytes]):
 
 def _digests(values: np.ndarray, bounds: np.ndarray):
     raw = _bytes(values)
-    return [hashlib.blake2b(raw[6 * a : 6 * b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def _members(width: int):
@@ -173,7 +169,7 @@ def _request(bits: int, parts: int):
         for p in range(parts):
             a, b = edges[p], edges[p + 1]
             if b > a:
-                rows.append((p, home, _pack_cells(cells[a:b], np.minimum(counts[a:b], 255).astype(np.uint8))))
+                rows.append((p, home, _pack_cells(cells[a:b], counts[a:b])))
         return pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
 
     return run
@@ -185,21 +181,27 @@ def _part_edges(cells: np.ndarray, bits: int, parts: int) -> np.ndarray:
 
 
 def _pack_cells(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    """Cells by differences, then counts in a byte each; those that need more follow in full."""
     delta = cells.copy()
     delta[1:] -= cells[:-1]
     planes = np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8).T)
     top = max([1, *(k + 1 for k in range(8) if planes[k, 1:].any())])
-    return b"".join([bytes([top]), cells[:1].tobytes(), planes[:top, 1:].tobytes(), counts.tobytes()])
+    large = counts[counts >= 255].astype(np.int64)
+    return b"".join([np.int64(len(large)).tobytes(), large.tobytes(), bytes([top]), cells[:1].tobytes(), planes[:top, 1:].tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes()])
 
 
 def _unpack_cells(blob: bytes):
+    many = int(np.frombuffer(blob, np.int64, 1)[0])
+    large, blob = np.frombuffer(blob, np.int64, many, 8), blob[8 + 8 * many :]
     top = blob[0]
     n = (len(blob) - 9 + top) // (top + 1)
     delta = np.zeros((8, n), np.uint8)
     delta[:top, 1:] = np.frombuffer(blob, np.uint8, top * (n - 1), 9).reshape(top, n - 1)
     d = np.ascontiguousarray(delta.T).view(np.uint64).ravel()
     d[0] = np.frombuffer(blob[1:9], np.uint64)[0]
-    return np.cumsum(d, dtype=np.uint64), np.frombuffer(blob, np.uint8, n, 9 + top * (n - 1))
+    counts = np.frombuffer(blob, np.uint8, n, 9 + top * (n - 1)).astype(np.int64)
+    counts[counts == 255] = large
+    return np.cumsum(d, dtype=np.uint64), counts
 
 
 def _code(df: np.ndarray) -> np.ndarray:
@@ -270,7 +272,7 @@ def _ordered(home: _Home, codes: np.ndarray, docs: np.ndarray):
 
 
 #: Fields and the bytes of each that travel.
-_POSTING = [("token", np.uint64, 6), ("idx", np.uint32, 4), ("n", np.uint32, 4), ("pos", np.uint32, 4), ("lo", np.uint16, 2), ("hi", np.uint16, 2), ("side", np.uint8, 1), *((f"before{k}", np.uint64, 6) for k in range(BEFORE))]
+_POSTING = [("token", np.uint64, 8), ("idx", np.uint32, 4), ("n", np.uint32, 4), ("pos", np.uint32, 4), ("lo", np.uint32, 4), ("hi", np.uint32, 4), ("side", np.uint8, 1), *((f"before{k}", np.uint64, 8) for k in range(BEFORE))]
 
 
 def _planes(f: dict, layout) -> bytes:
@@ -305,13 +307,13 @@ def _post(bits: int, parts: int, percent: int):
             ok = place[keep] > k
             before[ok, k] = value[keep[ok] - k - 1]
         f = {"token": value[keep], "idx": docs[who[keep]].astype(np.uint32), "n": h.n[docs][who[keep]].astype(np.uint32), "pos": pos[keep].astype(np.uint32)}
-        blocks = np.minimum(-(-_upper(code[keep]) // BLOCK), 65535)
+        blocks = -(-_upper(code[keep]) // BLOCK)
         own = np.array([int.from_bytes(h.digs[d][8:], "little") & 0x7FFFFFFFFFFFFFFF for d in docs], np.int64)[who[keep]] % blocks
         times = blocks  # block pairs that the posting takes part in
         rep = np.repeat(np.arange(len(keep)), times)
         other = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
         mine = own[rep]
-        lo, hi = np.minimum(mine, other).astype(np.uint16), np.maximum(mine, other).astype(np.uint16)
+        lo, hi = np.minimum(mine, other).astype(np.uint32), np.maximum(mine, other).astype(np.uint32)
         side = (mine > other).astype(np.uint8)
         f = {k: v[rep] for k, v in f.items()} | {"lo": lo, "hi": hi, "side": side}
         f |= {f"before{k}": before[rep, k] for k in range(BEFORE)}
@@ -363,7 +365,7 @@ def _live_rows(n, pos, before, side, cross, percent):
     return live
 
 
-_LIVE = [("idx", np.uint32, 4), ("token", np.uint64, 6), ("lo", np.uint16, 2), ("hi", np.uint16, 2), ("side", np.uint8, 1)]
+_LIVE = [("idx", np.uint32, 4), ("token", np.uint64, 8), ("lo", np.uint32, 4), ("hi", np.uint32, 4), ("side", np.uint8, 1)]
 
 
 def _live(percent: int):
@@ -647,12 +649,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles (A-Z as a-z;
     with fewer words the whole sequence is the one shingle). n_similar counts the other documents linked directly,
-    component_id is the smallest id reachable, the own one included. Rows with a null id are left out; repeated ids count
-    as separate documents: classes of equal sets go by the first 64 bits of their digest, not by an id. Other columns of docs are not looked at.
+    component_id is the smallest id reachable, the own one included. Rows with a null id take part like others; their
+    component_id is null where no other id is reachable. Repeated ids count as separate documents: classes of equal sets go by the first 64 bits of their digest, not by an id. Other columns of docs are not looked at.
     """
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must be in 1..100 and width at least 1")
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     members = settle(src.mapInArrow(_members(width), "id bigint, n bigint, dig binary"), "members")
     grams = members.agg(F.sum("n")).first()[0] or 0
     homes = max(4, ceil_div(grams, HOME_GRAMS))
@@ -673,4 +675,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = connected_components(found.where("other is not null"), "rep", "other")
     of_class = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("dig", "least", F.coalesce("component", "rep").alias("component"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"))
     of_class = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("dig", "n_similar", "component_id")
-    return members.join(of_class, "dig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("bigint").alias("n_similar"), F.coalesce("component_id", "id").alias("component_id"))
+    full = members.where("n > 0").join(of_class, "dig").select("id", "n", "n_similar", "component_id")
+    bare = members.where("n = 0").select("id", "n", F.lit(0).alias("n_similar"), F.col("id").alias("component_id"))  # they'd all meet in one task
+    return full.unionByName(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("n_similar").cast("bigint").alias("n_similar"), "component_id")

@@ -96,6 +96,47 @@ def test_bpe_equals_tiktoken_and_round_trips(spark):
     assert bpe.encode(frame(spark, []), RANKS).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits[:n]), "".join((b, a)[x] for x in bits[:n])
+
+
+def test_bpe_tells_apart_what_polynomials_dont(spark):
+    x, y = thue_morse(1024)
+    texts = [f"{x}\n{y}", y, x, f"{y} {x}"]
+    rows = sorted(bpe.encode(frame(spark, texts), RANKS, keep=["doc_id"], decode=True).collect())
+    assert [r.ids for r in rows] == reference(texts)
+    assert [r.decoded_sha256 for r in rows] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
+def test_strings_of_one_hash_are_told_apart():
+    from inkwell.llm.common import Distinct
+
+    x, y = thue_morse(1024)
+    data = np.frombuffer((x + y + x).encode(), np.uint8)
+    d = Distinct()
+    at = np.array([0, 1024, 2048])
+    assert d.numbers(data, at, at + 1024).tolist() == [0, 1, 0] and d.clashes
+    assert d.numbers(data, at[1:], at[1:] + 1024).tolist() == [1, 0]
+
+
+def test_bpe_of_long_pieces_and_texts():
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(letters, k=100_000)), "".join(rng.choices("etaoin", k=3000)), "a" * 200_000, "abc" * 5000, "日本語" * 3000, " " * 5000 + "x", "=-" * 4000, "".join(rng.choices(["the", "nation", "al", "s"], k=20_000)), thue_morse(5000)[0]]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(1_000_000)), "字\u3000 \n x" * 600_000, "字 " * 1_500_000]
+    codec = bpe.Codec(RANKS)
+    data, offsets = utf8(pa.array(texts))
+    ids, bounds = codec.encode(data, offsets)
+    for i, want in enumerate(reference(texts)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == want, texts[i][:50]
+        alone, _ = codec.encode(*utf8(pa.array(texts[i : i + 1])))
+        assert alone.tolist() == want
+    assert codec.decode(ids, bounds) == [t.encode() for t in texts]
+
+
 # --- top-k
 
 
@@ -289,6 +330,30 @@ def test_ngram_join_equals_brute_force(spark, percent, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in got} == ngram_truth(texts, percent)
 
 
+def test_ngram_join_tells_apart_what_polynomials_dont(spark):
+    x, y = thue_morse(1024)
+    texts = [x, y, f"{x} {y}", f"{y} {x}", f"{x} {x}", " ".join([x] * 50), "q" * 70_000, "r" * 70_000]
+    got = ngram_join.ngram_jaccard_join(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in got} == ngram_truth(texts)
+
+
+def test_ngram_join_of_null_and_repeated_ids_and_long_texts(spark):
+    rng = random.Random(4)
+    long = rng.choices(WORDS, k=3) + [f"v{i}" for i in range(200_000)]
+    other = " ".join(long[:150_000] + ["x"])
+    rows = [(3, " ".join(long)), (None, other), (3, "a b c"), (None, "z y"), (None, None), (9, "A b c"), (None, "z Y")]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted([(3, 200_002, 1, 3), (None, 150_000, 1, 3), (3, 2, 1, 3), (9, 2, 1, 3), (None, 1, 1, None), (None, 1, 1, None), (None, 0, 0, None)], key=key)
+
+
+def test_counts_of_hot_ngrams_travel_whole():
+    cells = np.array([1, 5, 1 << 40], np.uint64)
+    for counts in ([1, 2, 3], [254, 255, 256], [1, 1, 1 << 33]):
+        c, k = ngram_join._unpack_cells(ngram_join._pack_cells(cells, np.array(counts)))
+        assert c.tolist() == cells.tolist() and k.tolist() == counts
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_jaccard_join(frame(spark, [])).count() == 0
 
