@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, mixing, ngram_join, pii, toxicity
 from inkwell.llm.common import settle, table
-from inkwell.llm.queries import RANKS, REPETITION, held_out
+from inkwell.llm.queries import RANKS, REPETITION, held_out, pii_key
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rewrites texts; n_chars follows."""
-    return pii.pseudonyms(docs, counts=False).withColumn("n_chars", F.length("text").cast("bigint"))
+    return pii.pseudonyms(docs, pii_key(spark), counts=False).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

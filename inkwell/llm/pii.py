@@ -14,17 +14,25 @@ import hashlib
 import re
 from datetime import date, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import extend
 
-KEY = b"inkwell-demo-key"
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 
 
+def _stream(key: bytes, text: bytes, size: int) -> bytes:
+    """As many pseudo-random bytes of a keyed digest as are asked for."""
+    if size <= 64:
+        return hashlib.blake2b(text, key=key[:64], digest_size=size).digest()
+    seed = hashlib.blake2b(text, key=key[:64]).digest()
+    return b"".join(hashlib.blake2b(seed + k.to_bytes(8, "big"), key=key[:64]).digest() for k in range(-(-size // 64)))[:size]
+
+
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size): a balanced Feistel network over bits, walked until it is in range."""
     if not 0 <= value < size:
@@ -37,13 +45,28 @@ def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
-            digest = hashlib.blake2b(f"{tweak}:{size}:{r}:".encode() + right.to_bytes(width, "big"), key=key[:64], digest_size=min(64, width + 8)).digest()
+            digest = _stream(key, f"{tweak}:{size}:{r}:".encode() + right.to_bytes(width, "big"), width + 8)
             left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
         value = left << half | right
         if value < size:
             return value
 
 
+def permute_symbols(values: np.ndarray, sizes: np.ndarray, key: bytes, tweak: str) -> np.ndarray:
+    """A keyed permutation of all rows with values[i] in range(sizes[i]): a Feistel network whose halves are added to symbol
+    by symbol, all of a half each round, in time that follows the length."""
+    out, cut = values.astype(np.uint64), len(values) // 2
+    sizes = sizes.astype(np.uint64)
+    head = f"{tweak}:{len(values)}:".encode() + hashlib.blake2b(sizes.astype(np.uint8).tobytes(), digest_size=16).digest()
+    left, right = slice(0, cut), slice(cut, len(values))
+    for r in range(ROUNDS):
+        add = np.frombuffer(_stream(key, head + bytes([r]) + out[right].astype(np.uint8).tobytes(), 8 * max(1, left.stop - left.start)), np.uint64)
+        if left.stop > left.start:
+            out[left] = (out[left] + add % sizes[left]) % sizes[left]
+        left, right = right, left
+    return out.astype(np.int64)
+
+
 def luhn_digit(digits: str) -> int:
     """The check digit that follows digits."""
     total = 0
@@ -108,15 +131,33 @@ def _ssn(text: str, key: bytes) -> str | None:
 _TWO = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())  # country codes of two digits
 
 
+def _american(d: str) -> bool:
+    return d[0] not in "01" and d[3] not in "01"
+
+
+def _ten(d: str, key: bytes) -> str:
+    """Ten digits; numbers that are valid in North America stay so."""
+    if _american(d):
+        n = permute((int(d[0]) - 2) * 8 * 10**8 + int(d[1:3]) * 8 * 10**6 + (int(d[3]) - 2) * 10**6 + int(d[4:]), 64 * 10**8, key, "phone1")
+        return f"{n // (8 * 10**8) + 2}{n // (8 * 10**6) % 100:02d}{n // 10**6 % 8 + 2}{n % 10**6:06d}"
+    while True:
+        d = _number(d, key, "phone1")
+        if not _american(d):
+            return d
+
+
 def _phone(text: str, key: bytes) -> str | None:
+    """Separators are evidence enough, ten bare digits must be a valid North American number."""
     d = _digits(text)
-    country = len(d) - 10 if text[0] == "+" or len(d) == 11 else 0
-    if text[0] == "+" and not 1 <= country <= 3:
-        if not 8 <= len(d) <= 15:
-            return None
-        country = 1 if d[0] in "17" else 2 if d[:2] in _TWO else 3
-    elif len(d) - country != 10:
+    if text[0] != "+":
+        if len(d) == 10 and (not text.isdigit() or _american(d)) or len(d) == 11:
+            return _refill(text, d[:-10] + _ten(d[-10:], key))
+        return None
+    if not 8 <= len(d) <= 15:
         return None
+    if d[0] == "1" and len(d) == 11:
+        return _refill(text, "1" + _ten(d[1:], key))
+    country = 1 if d[0] in "17" else 2 if d[:2] in _TWO else 3
     return _refill(text, d[:country] + _number(d[country:], key, "phone" + d[:country]))
 
 
@@ -128,55 +169,60 @@ def _ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, n.to_bytes(4, "big")))
 
 
-_FIRST, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
+_SPANS = ((1900, 2099), (1, 1899), (2100, 9999))  # a date stays in its span of years
 
 
 def _date(text: str, key: bytes) -> str | None:
-    iso = len(text.replace("/", "-").replace(".", "-").split("-")[0]) == 4
-    sep = text[4] if iso else text[2]
-    parts = [int(x) for x in text.split(sep)]
-    orders = ((0, 1, 2),) if iso else ((2, 1, 0), (2, 0, 1))  # day first, else month first
-    for y, m, d in orders:
+    """Days keep the order of their parts and whether they have leading zeros; read with the day first where both are possible."""
+    sep = next(c for c in text if c in "-/.")
+    words = text.split(sep)
+    iso = len(words[0]) == 4
+    parts = [int(x) for x in words]
+    padded = all(len(w) > 1 for w in words)
+    for y, m, d in ((0, 1, 2),) if iso else ((2, 1, 0), (2, 0, 1)):
         try:
-            day = (date(parts[y], parts[m], parts[d]) - _FIRST).days
+            day = date(parts[y], parts[m], parts[d])
         except ValueError:
             continue
-        if 0 <= day < _DAYS:
-            new = _FIRST + timedelta(permute(day, _DAYS, key, "date"))
-            out = [0, 0, 0]
-            out[y], out[m], out[d] = new.year, new.month, new.day
-            return sep.join(f"{v:04d}" if i == y else f"{v:02d}" for i, v in enumerate(out))
+        first, last = next((date(a, 1, 1), date(z, 12, 31)) for a, z in _SPANS if a <= day.year <= z)
+        month_first = m == 0
+        while True:
+            day = first + timedelta(permute((day - first).days, (last - first).days + 1, key, "date"))
+            if not month_first or day.day > 12:  # else it would be read with the day first
+                break
+        out = [0, 0, 0]
+        out[y], out[m], out[d] = day.year, day.month, day.day
+        return sep.join(f"{v:04d}" if i == y else f"{v:02d}" if padded else str(v) for i, v in enumerate(out))
     return None
 
 
-_RADIX = [("0123456789", 10), ("abcdefghijklmnopqrstuvwxyz", 26), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 26)]
+_CLASS, _VALUE, _SIZE = np.zeros(128, np.uint8), np.zeros(128, np.int64), np.zeros(128, np.int64)
+for _base, _n in ((48, 10), (97, 26), (65, 26)):
+    _CLASS[_base : _base + _n], _VALUE[_base : _base + _n], _SIZE[_base : _base + _n] = _base, range(_n), _n
 
 
 def _email(text: str, key: bytes) -> str | None:
     name, domain = text.rsplit("@", 1)
-    kinds = [next((a for a, _ in _RADIX if c in a), None) for c in name]
-    n, size = 0, 1
-    for c, a in zip(name, kinds):
-        if a:
-            n, size = n * len(a) + a.index(c), size * len(a)
-    n = permute(n, size, key, "email")
-    out = []
-    for c, a in zip(reversed(name), reversed(kinds)):
-        out.append(a[n % len(a)] if a else c)
-        n = n // len(a) if a else n
-    return "".join(reversed(out)) + "@" + domain
+    raw = np.frombuffer(name.encode(), np.uint8).copy()
+    at = np.flatnonzero(_CLASS[raw])
+    c = raw[at]
+    raw[at] = permute_symbols(_VALUE[c], _SIZE[c], key, "email") + _CLASS[c]
+    return raw.tobytes().decode() + "@" + domain
 
 
 _MAKERS = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
-_FIND = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9]))"
-    r"|(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9]))"
-    r"|(?P<date>(?<![0-9A-Za-z.\-/])(?:[0-9]{4}([-/.])[0-9]{2}\5[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\6[0-9]{4})(?![0-9A-Za-z]))"
-    r"|(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]))"
-    r"|(?P<phone>(?<![0-9A-Za-z+])(?:(?:\+[0-9]{1,3}|1)[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9])*(?![0-9A-Za-z]))"
-    r"|(?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
-)
+_EDGE = r"(?![0-9A-Za-z])"
+_PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}" + _EDGE,
+    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "date": r"(?<![0-9A-Za-z.\-/])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{2}(?P=s1)[0-9]{2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]))",
+    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}" + _EDGE,
+    "phone": r"(?<![0-9A-Za-z+])(?:(?:(?:\+[0-9]{1,3}|1)[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,5}\))?(?:[ .-]?[0-9]){4,14}|(?<!\.)[2-9][0-9]{2}[2-9][0-9]{6}(?!\.[0-9]))" + _EDGE,
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}" + _EDGE,
+}
+_ONE = {k: re.compile(p) for k, p in _PATTERNS.items()}
+_FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS.items()))
 _PART = re.compile(r"[0-9]+")
 
 
@@ -192,36 +238,36 @@ def _shorter(kind: str, old: str):
             yield old[: m.end()]
 
 
+def _at(text: str, start: int, first: str, key: bytes):
+    """(kind, match, pseudonym) of the first kind, from `first` on, that has a valid value beginning at start."""
+    kinds = list(_PATTERNS)
+    for kind in kinds[kinds.index(first) :]:
+        m = _ONE[kind].match(text, start)
+        for old in _shorter(kind, m.group()) if m else ():
+            new = _MAKERS[kind](old, key)
+            if new is not None:
+                return kind, old, new
+    return None
+
+
 _MAYBE = re.compile(r"[0-9@]")
 
 
-def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, dict[str, int]]:
+def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """(text with pseudonyms, how many of each kind)."""
     counts: dict[str, int] = {}
     if not _MAYBE.search(text):
         return text, counts
-
     out, done, at = [], 0, 0
     while m := _FIND.search(text, at):
-        start, kind, new = m.start(), m.lastgroup, None
-        for old in _shorter(kind, m.group()):
-            new = _MAKERS[kind](old, key)
-            if new is not None:
-                break
-        if new is None and kind == "iban":  # not one: a number may follow its letters
-            inner = _FIND.match(text[start + 2 : start + 80])
-            if inner and inner.lastgroup not in ("iban", "email"):
-                start, kind = start + 2, inner.lastgroup
-                for old in _shorter(kind, inner.group()):
-                    new = _MAKERS[kind](old, key)
-                    if new is not None:
-                        break
-        if new is None:  # what begins later may still be one
+        found = _at(text, m.start(), m.lastgroup, key)
+        if found is None:  # what begins later may still be one
             at = m.start() + 1
             continue
+        kind, old, new = found
         counts[kind] = counts.get(kind, 0) + 1
-        out += [text[done:start], new]
-        done = at = start + len(old)
+        out += [text[done : m.start()], new]
+        done = at = m.start() + len(old)
     return "".join([*out, text[done:]]), counts
 
 
@@ -238,11 +284,14 @@ def _run(key: bytes):
     return run
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY, text_col: str = "text", counts: bool = True) -> DataFrame:
-    """docs with text_col rewritten, and the count of each kind as n_<kind>; no shuffle, one row per row.
+def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with text_col rewritten, and the count of each kind as n_<kind>; no shuffle, one row per row, repeated ones alike.
 
+    key: 16 to 64 secret bytes; who has them can undo the pseudonyms, and without the same ones no two runs agree.
     Columns of docs that have the name of a count are left out when counts are asked for.
     """
+    if len(key) < 16:
+        raise ValueError("the key must have 16 bytes at least")
     new = [f"n_{k}" for k in KINDS]
     keep = [c for c in docs.columns if c != text_col and not (counts and c in new)]
     hidden = {c: f"__k{i}" for i, c in enumerate(keep)}

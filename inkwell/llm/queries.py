@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,15 @@ def held_out(ident):
     return F.coalesce(F.crc32(ident.cast("string")) % 5 == 0, F.lit(False))
 
 
+_keys: dict[str, bytes] = {}
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """spark.inkwell.pii.key in hexadecimal; where unset, random bytes that last as long as the application."""
+    told = spark.conf.get("spark.inkwell.pii.key", None)
+    return bytes.fromhex(told) if told else _keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.mix(docs, repetition=REPETITION, marks=True)
@@ -41,7 +52,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,11 +235,90 @@ def test_permutation_is_one_to_one():
     for size in (1, 2, 10, 999):
         assert sorted(pii.permute(i, size, b"k", "t") for i in range(size)) == list(range(size))
     assert pii.permute(5, 10**9, b"k", "t") != pii.permute(5, 10**9, b"l", "t")
+    for sizes in ([10], [26, 10], [3, 2, 4], [2] * 7):
+        every = list(itertools.product(*map(range, sizes)))
+        got = {tuple(pii.permute_symbols(np.array(x), np.array(sizes), b"k", "t").tolist()) for x in every}
+        assert got == set(every)
+
+
+KEY = b"a key of the tests"
+
+
+def test_long_names_change_all_over():
+    for n in (1, 2, 3, 60, 64, 65, 128, 129, 2000, 8000, 20_000):
+        name = "".join(random.Random(n).choices("abcXYZ019", k=n))
+        new, counts = pii.pseudonymise(f"to {name}@x.co now", KEY)
+        assert counts == {"email": 1} and len(new) == n + 12 and new.endswith("@x.co now")
+        got = new[3 : 3 + n]
+        assert [c.isdigit() for c in got] == [c.isdigit() for c in name] and [c.isupper() for c in got] == [c.isupper() for c in name]
+        if n > 60:
+            for a in range(0, n - 60, 30):  # no stretch is kept
+                assert got[a : a + 60] != name[a : a + 60]
+    slow = "+1" * 1 + "2" * 300_000 + " 1 2 3" * 20_000 + "a." * 50_000 + "x@" * 30_000
+    assert len(pii.pseudonymise(slow, KEY)[0]) == len(slow)
+
+
+def plain_finder(text):
+    """Brute force: at each place, each kind in order and each end from the right."""
+    alnum = lambda k: 0 <= k < len(text) and text[k].isalnum() and text[k].isascii()
+    at = lambda k: text[k] if 0 <= k < len(text) else ""
+
+    def fits(kind, i, e):
+        x = text[i:e]
+        if kind == "email":
+            return not (at(i - 1) and at(i - 1) in "._%+-") and not alnum(i - 1) and re.fullmatch(r"[\w.%+-]+@([A-Za-z0-9-]+\.)+[A-Za-z]{2,}", x, re.A)
+        if kind == "ip":
+            return not alnum(i - 1) and at(i - 1) != "." and not at(e).isdigit() and not (at(e) == "." and at(e + 1).isdigit()) and re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", x)
+        if alnum(i - 1) or alnum(e) and not (kind == "date" and at(e) == "T" and at(e + 1).isdigit()):
+            return False
+        if kind == "iban":
+            return re.fullmatch(r"[A-Z]{2}\d\d( ?[A-Z0-9]){11,30}", x)
+        if kind == "date":
+            return not (at(i - 1) and at(i - 1) in "./-") and re.fullmatch(r"\d{4}([-/.])\d\d\1\d\d|\d\d?([-/.])\d\d?\2\d{4}", x)
+        if kind == "ssn":
+            return at(i - 1) != "-" and re.fullmatch(r"\d{3}-\d\d-\d{4}", x)
+        if kind == "phone":
+            if at(i - 1) == "+":
+                return False
+            if re.fullmatch(r"\d{10}", x):
+                return at(i - 1) != "." and not (at(e) == "." and at(e + 1).isdigit()) and x[0] > "1" and x[3] > "1"
+            ours = r"((\+\d{1,3}|1)[ .-]?)?(\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+            if re.fullmatch(ours, x):
+                return True
+            if any(re.fullmatch(ours, text[i:k]) and not alnum(k) for k in range(i, min(len(text), i + 30))):
+                return False  # that form comes first
+            return re.fullmatch(r"\+[1-9]\d{0,2}([ .-]?\(\d{1,5}\))?([ .-]?\d){4,14}", x)
+        return re.fullmatch(r"\d([ -]?\d){12,18}", x)
+
+    out, i = [], 0
+    while i < len(text):
+        hit = next(((e, new) for kind in pii._MAKERS for e in range(min(len(text), i + 60), i, -1) if fits(kind, i, e) and (new := pii._MAKERS[kind](text[i:e], KEY)) is not None), None)
+        out.append(hit[1] if hit else text[i])
+        i = hit[0] if hit else i + 1
+    return "".join(out)
+
+
+def test_pseudonyms_equal_a_plain_finder():
+    rng = random.Random(9)
+    parts = ["4111 1111 1111 1111", "4111111111111111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "123-45-6789", "2125550147", "212-555-0147", "+1 (212) 555-0147", "+44 20 7946 0958", "10.0.0.1", "2024-01-05", "2024-01-05T10:00:00Z", "5/1/2024", "31.12.1875", "02/13/2024", "jo.x@a-b.example.org", " ", " ", ", ", "-", ".", "+", "T", "A", "é", "1", "12", "123", "\n", "/", "@", "X9"]
+    for _ in range(1500):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 6)))
+        assert pii.pseudonymise(text, KEY)[0] == plain_finder(text), text
+
+
+def test_formats_stay_valid_and_linked():
+    new = {x: pii.pseudonymise(x, KEY)[0] for x in ("2125550147", "212-555-0147", "+1 212 555 0147", "1 (212) 555-0147", "(017) 555-7713", "5/1/2024", "05/01/2024", "02/13/2024", "2024-01-05T10:00:00Z", "0014-03-01")}
+    assert all(k != v and len(re.sub(r"\D", "", k)) == len(re.sub(r"\D", "", v)) or "/" in k for k, v in new.items())
+    last = {re.sub(r"\D", "", new[x])[-10:] for x in ("2125550147", "212-555-0147", "+1 212 555 0147", "1 (212) 555-0147")}
+    assert len(last) == 1 and (d := last.pop())[0] > "1" and d[3] > "1"
+    assert [int(x) for x in new["5/1/2024"].split("/")] == [int(x) for x in new["05/01/2024"].split("/")]
+    assert int(new["02/13/2024"].split("/")[1]) > 12 and new["2024-01-05T10:00:00Z"].endswith("T10:00:00Z")
+    assert pii.pseudonymise("1700000000 or 0125550147, 99/99/2024", KEY) == ("1700000000 or 0125550147, 99/99/2024", {})
 
 
 def test_pseudonyms_keep_formats_and_links(spark):
     text = "card 4111 1111 1111 1111 or 4111111111111112, +1 (017) 555-7713, ip 10.0.0.1, 999.1.1.1, 2024-02-29 and 2024-02-30, 123-45-6789, 666-12-1234, DE89370400440532013000, jo.42@mail8.example.com."
-    rows = pii.pseudonyms(frame(spark, [text, text, None, "", "none"]).withColumnRenamed("lang", "n_card")).collect()
+    rows = pii.pseudonyms(frame(spark, [text, text, None, "", "none"]).withColumnRenamed("lang", "n_card"), KEY).collect()
     new = rows[0].text
     assert rows[1].text == new and rows[2].text is None and rows[3].text == "" and rows[4].text == "none"
     assert (rows[0].n_card, rows[0].n_phone, rows[0].n_ip, rows[0].n_date, rows[0].n_ssn, rows[0].n_iban, rows[0].n_email) == (1,) * 7
@@ -250,16 +329,18 @@ def test_pseudonyms_keep_formats_and_links(spark):
     card = re.search(r"card (\d{4} \d{4} \d{4} \d{4}) ", new).group(1).replace(" ", "")
     assert pii.luhn_digit(card[:-1]) == int(card[-1])
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and re.search(r"DE\d{20}", new)
-    assert pii.pseudonyms(frame(spark, [])).count() == 0
+    assert pii.pseudonyms(frame(spark, []), KEY).count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonyms(frame(spark, []), b"short")
 
 
 def test_pseudonyms_beside_other_digits():
     card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
     for text, old, kind in [(f"{card} 12/27", card, "card"), (f"{card} 123", card, "card"), ("3 4111111111111111", "4111111111111111", "card"), (f"12 34 56 {card}", card, "card"), (f"7 {card} 12-27", card, "card"), (f"{iban} I paid", iban, "iban"), ("DE89 3704 0044 0532 0130 00 EUR 50", "DE89 3704 0044 0532 0130 00", "iban"), ("GR1601101250000000012300695", "GR1601101250000000012300695", "iban"), ("+44 20 7946 0958", "7946 0958", "phone"), ("+33 1 42 68 53 00 2024-01-05", "42 68 53 00", "phone"), ("+49 (30) 901820", "901820", "phone")]:
-        new, counts = pii.pseudonymise(f"a {text}, b")
+        new, counts = pii.pseudonymise(f"a {text}, b", KEY)
         assert old not in new and counts.get(kind) == 1 and len(new) == len(text) + 5, (text, new, counts)
         assert new.startswith("a ") and new.endswith(text[text.index(old) + len(old) :] + ", b") or kind == "phone", new
-    assert pii.pseudonymise("no 4111111111111112 or 1234 5678") == ("no 4111111111111112 or 1234 5678", {})
+    assert pii.pseudonymise("no 4111111111111112 or 1234 5678", KEY) == ("no 4111111111111112 or 1234 5678", {})
 
 
 # --- toxicity
