@@ -1,20 +1,21 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into a flat list of text blocks. A block's features are its word count and link density, those of the blocks
-before and after it, and what kind of element holds it. A decision tree, grown at first use on the blocks of a few small
-labelled pages below, says which blocks are main text. Word counts and densities alone can't tell a one-line paragraph
-from a one-line advert, hence the element features.
+before and after it, whether it is a heading, which of HTML's own sections hold it, and what the class and id words of its
+holders came to in the labelled table. A decision tree, grown at first use on that table, says which blocks are main text.
 
-Null and empty pages have an empty text. Unclosed, truncated and wrongly nested mark-up is read as far as it goes: a head
-ends at the first thing that isn't of a head, an element that isn't text with its parent. An unclosed comment, script or
-style goes to the page's end, as in browsers.
+Null and empty pages have an empty text; repeated pages repeat. Unclosed, truncated and wrongly nested mark-up is read as
+far as it goes, in time that follows the page's length: an element that isn't text ends with its parent, a comment, script
+or style that isn't closed at the page's end, as in browsers.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
+from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,67 +24,149 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import extend
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
-# A head holds only these; it ends at whatever else comes, closed or not.
-_HEAD = re.compile(r"<head\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:\s++|<title\b[^>]*+>(?:(?:(?!<body\b|</head\b).)*?</title\s*>|[^<]*+)|<(noscript|template|svg|iframe|object)\b[^>]*+>(?:(?!<body\b|</head\b).)*?</\1\s*>|</?(?:base|basefont|bgsound|link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>)*+(?:</head\s*>)?", re.S | re.I)
-_UNREAD = frozenset("noscript template svg iframe object select textarea math".split())  # not text; one that isn't closed ends with its parent
-_MODIFIER = re.compile(r"(?<!\S)(?:has|no|not|with|without)[-_]\S*", re.I)  # says what an element has, not what it is
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTR = re.compile(r"\b(?:class|id|role|hidden|aria-label|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\bhidden\b", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>")  # quotes count after = only
+_RAW = {k: re.compile(rf"</{k}(?=[\s/>])[^>]*+>", re.I) for k in ("script", "style")}
+_UNREAD = frozenset("noscript template svg iframe object select textarea math title".split())  # not text; one that isn't closed ends with its parent
+_ATTR = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_MODIFIER = re.compile(r"(?<!\S)(?:has|no|not|with|without)[-_]\S*")  # says what an element has, not what it is
+_WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[\s\xa0]+")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul button label".split())
 _HOLDERS = frozenset("article aside body dialog details div dl fieldset figure footer form header main menu nav ol section table ul span button label blockquote".split())
-_CHROME = {"nav": 1, "footer": 1, "aside": 1, "form": 1, "menu": 1, "dialog": 1, "header": 1, "button": 1, "label": 1, "fieldset": 1}
-_HINT = re.compile(r"(?:^|[\s_\-\"'=])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|side ?bar|aside|menu|nav|navbar|navigation|breadcrumbs?|crumbs?|header|masthead|topbar|footer|bottom|comments?|comment\w*|reply|replies|respond|disqus|discussion|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags?|copyright|disclaimer|skip|search|complementary|contentinfo|form)(?=$|[\s_\-\"'])|display\s*:\s*none|^hidden$", re.I)
-_GOOD = re.compile(r"(?:^|[\s_\-\"'])(?:article|main|post|entry|story|content|body)(?=$|[\s_\-\"'])", re.I)
-_WIDTH = 10
+_CHROME = frozenset("nav footer aside form menu dialog header button label fieldset".split())
+_PUSHED = _BLOCK | _HOLDERS | _UNREAD
+_WIDTH = 12
 
 
-def blocks(html: str, marks: bool = False):
-    """[(text, words, words in links, chrome, article, heading, mark)] of a page, in order. mark: that of training pages."""
-    html = _HEAD.sub(" ", _DROP.sub(" ", html), count=1)
-    out, parts, words, linked, in_link = [], [], 0, 0, 0
-    stack: list[tuple[str, int, int, str]] = [("", 0, 0, "")]  # name, chrome, article, mark
-    heading = unread = 0  # unread: place on the stack of the outermost element that isn't read
+class _Block:
+    __slots__ = ("text", "words", "linked", "chrome", "article", "heading", "names", "mark")
+
+    def __init__(self, text, words, linked, heading, holder):
+        self.text, self.words, self.linked, self.heading = text, words, linked, heading
+        self.chrome, self.article, self.names, self.mark = holder[1:]
+
+
+def _names(attrs: str) -> tuple[frozenset, bool]:
+    """(class and id words, whether the element is hidden or says that it is the main one or a section of HTML's)."""
+    words, unseen = set(), False
+    for kind, value in _ATTR.findall(attrs):
+        kind, value = kind.lower(), value.strip("\"'").lower()
+        if kind == "hidden" or kind == "style" and _UNSEEN.search(value):
+            unseen = True
+        elif kind != "style":
+            words.update(_WORD.findall(_MODIFIER.sub(" ", value)))
+    return frozenset(words), unseen
+
+
+def blocks(html: str) -> list[_Block]:
+    """The text blocks of a page, in order."""
+    out, parts = [], []
+    words = linked = in_link = heading = 0
+    none: frozenset = frozenset()
+    stack = [("", 0, 0, none, None)]  # name, chrome, article, class and id words of all holders, mark of a training page
+    open_, inner = Counter(), Counter()  # names on the stack; those among them that aren't read
+    unread = 0  # place on the stack of the outermost element that isn't read
+    loose = False  # quotes can't be trusted any more
+    at, n = 0, len(html)
 
     def flush():
         nonlocal parts, words, linked
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                _, chrome, article, mark = stack[-1]
-                out.append((text, words, linked, chrome, article, heading, mark))
+                out.append(_Block(text, words, linked, heading, stack[-1]))
         parts, words, linked = [], 0, 0
 
-    at = 0
-    for m in _TAG.finditer(html):
-        if m.start() > at and not unread:
-            piece = html[at : m.start()]
+    def say(piece):
+        nonlocal words, linked
+        if piece and not unread:
             parts.append(piece)
-            n = len(piece.split())
-            words += n
-            if in_link:
-                linked += n
-        at = m.end()
-        close, name, attrs = m.group(1), m.group(2).lower(), m.group(3)
+            k = len(piece.split())
+            words += k
+            linked += k if in_link else 0
+
+    def drop(to):
+        for x in stack[to:]:
+            open_[x[0]] -= 1
+        del stack[to:]
+
+    def leave():
+        nonlocal unread
+        drop(unread)
+        inner.clear()
+        unread = 0
+
+    def up_to(name):
+        """Place on the stack of the last such element, which is there."""
+        k = len(stack) - 1
+        while stack[k][0] != name:
+            k -= 1
+        return k
+
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0:
+            say(html[at:])
+            break
+        nxt = html[lt + 1 : lt + 2]
+        if nxt == "!" or nxt == "?":
+            say(html[at:lt])
+            end = html.find("-->", lt + 4) + 3 if html.startswith("<!--", lt) else html.find(">", lt) + 1
+            if end < 3:
+                break
+            at = max(end, lt + 2)
+            continue
+        m = _NAME.match(html, lt + 1)
+        if not m:
+            say(html[at : lt + 1])
+            at = lt + 1
+            continue
+        say(html[at:lt])
+        rest = None if loose else _REST.match(html, m.end())
+        if rest:
+            end = rest.end()
+        else:
+            end = html.find(">", m.end()) + 1
+            loose = True
+            if not end:
+                break  # a tag that the page's end cuts
+        at, close, name = end, nxt == "/", m.group(1).lower()
+        attrs = html[m.end() : end - 1]
+        if name in _RAW:
+            if not close:
+                m = _RAW[name].search(html, at)
+                if not m:
+                    break
+                at = m.end()
+            continue
         if unread:
-            k = next((k for k in range(len(stack) - 1, unread - 1, -1) if stack[k][0] == name), 0) if close else 0
-            if k:
-                del stack[k:]
-                unread = 0 if k == unread else unread
+            if close and inner[name] > 0:
+                k = up_to(name)
+                if k == unread:
+                    leave()
+                else:
+                    for x in stack[k:]:
+                        inner[x[0]] -= 1
+                    drop(k)
                 continue
-            if name in ("body", "head") or close and (name in _BLOCK if name not in _HOLDERS else any(s[0] == name for s in stack)):  # the parent's end
-                del stack[unread:]
-                unread = 0
+            title = stack[unread][0] == "title"
+            if title or name in ("body", "head") or close and (name in _BLOCK if name not in _HOLDERS else open_[name] > inner[name]):  # the parent's end
+                leave()
             else:
-                if not close and name in _BLOCK | _HOLDERS | _UNREAD and name != "hr" and not attrs.endswith("/"):
+                if not close and name in _PUSHED and name != "hr" and not attrs.endswith("/"):
                     stack.append((name, *stack[-1][1:]))
+                    open_[name] += 1
+                    inner[name] += 1
                 continue
         if name in _UNREAD:
             if not close and not attrs.endswith("/"):
                 parts.append(" ")
                 unread = len(stack)
                 stack.append((name, *stack[-1][1:]))
+                open_[name] += 1
+                inner[name] += 1
             continue
         if name == "a":
             in_link = 0 if close else 1
@@ -93,109 +176,138 @@ def blocks(html: str, marks: bool = False):
             continue
         if name in _BLOCK:
             flush()
-            if name[0] == "h" and name[1:].isdigit():
-                heading = 0 if close else 1
-            elif name != "a":
-                heading = 0
+            heading = 1 if name[0] == "h" and name[1:].isdigit() and not close else 0
             in_link = 0 if close else in_link
         if name in _HOLDERS:
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        if name not in _BLOCK and stack[k][1] != stack[k - 1][1]:
-                            flush()
-                        del stack[k:]
-                        break
+                if open_[name] > 0:
+                    k = up_to(name)
+                    if name not in _BLOCK and stack[k][1:] != stack[k - 1][1:]:
+                        flush()
+                    drop(k)
             elif not attrs.endswith("/"):
-                _, chrome, article, mark = stack[-1]
-                hints = [_MODIFIER.sub(" ", (x.group(1) or "hidden").strip("\"'")) for x in _ATTR.finditer(attrs)] if attrs else []
-                is_article = name in ("article", "main")
-                bad = name in _CHROME and not (name == "header" and article) or any(_HINT.search(h) for h in hints) and not (name == "body" or is_article)
-                good = is_article or any(_GOOD.search(h) for h in hints) and not bad
-                if bad and name not in _BLOCK:
-                    flush()
-                if marks:
-                    mark = "1" if "data-keep" in attrs else "0" if "data-drop" in attrs else mark
-                stack.append((name, 1 if bad or chrome else 0, 1 if (good or article) and not bad else 0, mark))
-    if at < len(html) and not unread:
-        tail = html[at:]
-        cut = re.search(r"<[a-zA-Z/!][^<>]*\Z", tail)  # a tag that the page's end cuts
-        tail = tail[: cut.start()] if cut else tail
-        parts.append(tail)
-        words += len(tail.split())
-        linked += len(tail.split()) if in_link else 0
+                _, chrome, article, names, mark = stack[-1]
+                if attrs:
+                    own, unseen = _names(attrs)
+                    if own and not own <= names and name != "body":
+                        if name not in _BLOCK:
+                            flush()
+                        names = names | own
+                    if unseen and name != "body":
+                        if name not in _BLOCK:
+                            flush()
+                        chrome = 1
+                    mark = 1 if "data-keep" in attrs else 0 if "data-drop" in attrs else mark
+                if name in _CHROME and not (name == "header" and article):
+                    chrome = 1
+                if name in ("article", "main"):
+                    article = 1
+                stack.append((name, chrome, article, names, mark))
+                open_[name] += 1
     flush()
     return out
 
 
-def features(found) -> np.ndarray:
-    """One row a block: words, link density, both of the block before and after, chrome, in an article, heading, page has an article."""
+def features(found: list[_Block], rates: dict[str, float]) -> np.ndarray:
+    """One row a block: words, link density, both of the block before and after, held by a section that is no text, by an
+    article, heading, whether the page has an article, least and greatest rate of the holders' words."""
     n = len(found)
     x = np.zeros((n, _WIDTH))
     if n:
-        x[:, 0] = [f[1] for f in found]
-        x[:, 1] = [f[2] / max(1, f[1]) for f in found]
+        x[:, 0] = [f.words for f in found]
+        x[:, 1] = [f.linked / max(1, f.words) for f in found]
         x[1:, 2:4] = x[:-1, :2]
         x[:-1, 4:6] = x[1:, :2]
-        x[:, 6] = [f[3] for f in found]
-        x[:, 7] = [f[4] for f in found]
-        x[:, 8] = [f[5] for f in found]
+        x[:, 6] = [f.chrome for f in found]
+        x[:, 7] = [f.article for f in found]
+        x[:, 8] = [f.heading for f in found]
         x[:, 9] = x[:, 7].max()
+        for k, pick in ((10, min), (11, max)):
+            x[:, k] = [pick((rates[w] for w in f.names if w in rates), default=0.5) if f.names else 0.5 for f in found]
     return x
 
 
-_LONG = "One long paragraph of the story that goes on for quite a while and says what happened, where and when, and who said so, before the next one begins and adds more to it."
-_MID = "A paragraph of some fifteen words that tells a little more about what was seen there."
-_NAV = "<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>World</a></li><li><a href='/c'>Sport news</a></li></ul></nav>"
+_FILL = "this that house river after night story water before never again under light people because early street window summer along".split()
+_NO_TEXT = "ad ads advert advertisement adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs masthead topbar header footer bottom comments comment replies reply respond disqus discussion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations widget toolbar pagination pager tags copyright disclaimer skip search complementary contentinfo form".split()
+_MAIN_TEXT = "article post entry story content body main text".split()
+
+
+def _words(k: int, start: int) -> str:
+    return " ".join(islice(cycle(_FILL), start % len(_FILL), start % len(_FILL) + k)).capitalize()
+
+
+def _links(k: int, size: int, tag: str = "li") -> str:
+    rows = "".join(f"<{tag}><a href='/{i}'>{_words(size + i % 2, i)}</a></{tag}>" for i in range(k))
+    return f"<ul>{rows}</ul>" if tag == "li" else rows
 
 
 def _labelled_pages() -> list[str]:
     """The labelled table: data-keep marks main text, data-drop all else."""
-    p = [f"<p>{_LONG}</p>", f"<p>{_MID}</p>", "<p>Short one.</p>", "<p>He left.<br>", f"<p>{_MID} <a href='/x'>with a link</a></p>", f"<p><b>{_MID}</p>", "<p><a href='/y'>A line that is a link</a></p>", "<ul><li>first point</li><li>second point of the list</li></ul>", f"<blockquote>{_MID}</blockquote>"]
-    junk = [_NAV, "<header><a href='/'>Site name</a> <p>All the news</p></header>", "<div class='ad'>Buy this now, cheap and good.</div>", f"<div class='ad'>{_LONG}</div>", f"<aside><h3>Related</h3><p>{_MID}</p></aside>", "<div class='cookie-notice'>We use cookies to make this site better. <a href='/p'>More</a></div>", "<form><label>Your mail</label> <button>Subscribe</button></form>", f"<div id='comments'><h3>Comments</h3><p>{_MID}</p><p>{_LONG}</p><p>Nice.</p></div>", "<footer>&copy; example.org &middot; All rights reserved here.</footer>", "<div class='sidebar'><ul><li><a href='/1'>Most read story</a></li><li>plain item</li></ul></div>", "<div class='breadcrumb'><a href='/'>Home</a> / <a href='/n'>News</a></div>", f"<footer><p>{_LONG}</p></footer>"]
+    sizes = cycle((40, 3, 18, 55, 1, 9, 30, 2, 70, 14, 5, 25))
+    plain = [lambda: f"<p>{_words(next(sizes), 1)}.</p>", lambda: f"<p>{_words(next(sizes), 4)}.</p>", lambda: f"<p>{_words(next(sizes), 7)}.", lambda: f"<h2>{_words(3, 2)}</h2><p>{_words(next(sizes), 3)}.</p>", lambda: f"<p>{_words(22, 5)} <a href='/x'>{_words(4, 6)}</a> {_words(6, 1)}.</p>", lambda: f"<p><a href='/y'>{_words(8, 2)}</a> {_words(9, 3)}</p>", lambda: f"<ul><li>{_words(3, 9)}</li><li>{_words(7, 1)}</li></ul>", lambda: f"<blockquote>{_words(next(sizes), 8)}</blockquote>", lambda: f"<p>{_words(35, 3)}.</p><p><a href='/z'>{_words(6, 5)}</a></p><p>{_words(28, 6)}.</p>"]
+    lists = [lambda: _links(4, 2), lambda: _links(3, 5, "p"), lambda: _links(6, 1), lambda: f"<div><a href='/'>{_words(1, 0)}</a> / <a href='/n'>{_words(1, 3)}</a> / {_words(2, 5)}</div>", lambda: _links(5, 8)]
+    inside = [lambda: f"<h3>{_words(3, 4)}</h3>{_links(3, 3)}", lambda: f"<header><a href='/'>{_words(1, 1)}</a><a href='/n'>{_words(2, 2)}</a></header>", lambda: f"<aside><p>{_words(30, 2)}</p></aside>", lambda: f"<footer>{_words(9, 2)}</footer>", lambda: f"<form><label>{_words(2, 1)}</label><button>{_words(1, 4)}</button></form>", lambda: f"<nav>{_links(3, 1)}</nav>", lambda: _links(4, 4, "p")]
+    texts = [lambda: f"<p>{_words(40, 1)}.</p>", lambda: _words(6, 2) + ".", lambda: f"<h3>{_words(2, 3)}</h3><p>{_words(16, 4)}.</p>", lambda: f"<p>{_words(3, 5)}.</p><p>{_words(60, 6)}.</p>"]
+    sections = [lambda: f"<nav>{_links(4, 2)}</nav>", lambda: f"<header><a href='/'>{_words(2, 1)}</a> <p>{_words(5, 4)}</p></header>", lambda: f"<aside><p>{_words(30, 2)}</p></aside>", lambda: f"<footer><p>{_words(12, 3)}</p></footer>", lambda: f"<footer><p>{_words(50, 3)}</p></footer>", lambda: f"<form><label>{_words(3, 1)}</label></form>"]
+    p, ls, ins, tx, sec, bad, good = (cycle(x) for x in (plain, lists, inside, texts, sections, _NO_TEXT, _MAIN_TEXT))
+
+    def junk(k):
+        rows = [next(sec)(), f"<div class='{next(bad)}'>{next(tx)()}</div>", f"<section id='{next(bad)}'>{next(tx)()}</section>", next(ls)(), f"<div class='{next(bad)} box'>{next(ls)()}</div>"]
+        return "".join(f"<div data-drop>{rows[(k + j) % 5]}</div>" for j in range(1 + k % 4))
+
     pages = []
-    for k in range(24):
-        body = "".join(p[(k + j * (1 + k % 4)) % len(p)] for j in range(5))
-        top = "".join(f"<div data-drop>{junk[(k + j * 5) % len(junk)]}</div>" for j in range(3))
-        end = "".join(f"<div data-drop>{junk[(k + 2 + j * 7) % len(junk)]}</div>" for j in range(3))
-        title = "<h1>What the story is called</h1>"
-        inner = f"<div data-drop>{junk[2 + (k + 1) % (len(junk) - 2)]}</div>"  # no site header inside an article
-        if k % 3 == 2:  # no article element: text stands in plain holders among links
-            main = f"<div data-keep>{title}<p>{_LONG}</p><p>{_LONG} {_MID}</p><p>{_MID}</p></div><div data-drop><p><a href='/m'>More stories from here</a></p><p><a href='/n'>Next</a></p></div>"
+    for k in range(160):
+        head = f"<h1>{_words(5, k)}</h1>" if k % 5 else ""
+        half = "".join(next(p)() for _ in range(1 + k % 3)), "".join(next(p)() for _ in range(1 + k % 4))
+        if k % 4 == 0:  # an article; whatever stands beside it is none of it
+            beside = f"<div data-drop>{next(tx)() if k % 8 else next(p)()}</div>"
+            within = f"<div data-drop>{next(ins)() if k % 3 else f'<div class={next(bad)}>{next(tx)()}</div>'}</div>"
+            name = ("article", "main")[k % 8 // 4]
+            main = f"{beside}<{name} data-keep>{head}{half[0]}{within}{half[1]}</{name}>{beside}"
+        elif k % 4 == 1:
+            within = f"<div data-drop>{next(ls)() if k % 3 else f'<div class={next(bad)}>{next(tx)()}</div>'}</div>"
+            main = f"<div class='{next(good)}' data-keep>{head}{half[0]}{within}{half[1]}</div>"
         else:
-            lone = ("<div data-drop>Plain words beside the story.</div>", f"<div data-drop><p>{_LONG}</p></div>", "<div data-drop>Three plain words</div>", "<p data-drop></p>")[k % 4]
-            main = f"{lone}<article data-keep>{title}{body}{inner}{p[k % len(p)]}</article>{lone}"
-        pages.append(f"<body>{top}{main}{end}</body>")
+            main = f"<div data-keep>{head}{half[0]}{half[1]}</div>"
+        pages.append(f"<body>{junk(k)}{main}{junk(k + 1)}</body>")
     return pages
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
     """A decision tree of least Gini impurity: (feature, threshold, left, right) or a class. Ties go to the first feature and threshold."""
     if depth == 0 or len(y) < 6 or y.min() == y.max():
         return int(y.mean() >= 0.5)
     best = None
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for t in (values[1:] + values[:-1]) / 2:
-            left = x[:, f] <= t
-            a, b = y[left], y[~left]
-            cost = len(a) * a.mean() * (1 - a.mean()) + len(b) * b.mean() * (1 - b.mean())
-            if best is None or cost < best[0] - 1e-12:
-                best = (cost, f, t, left)
-    if best is None or best[0] >= len(y) * y.mean() * (1 - y.mean()) - 1e-12:
+        order = np.argsort(x[:, f], kind="stable")
+        v, ones = x[order, f], np.cumsum(y[order])
+        at = np.flatnonzero(v[1:] > v[:-1])
+        if not len(at):
+            continue
+        a, p = at + 1.0, ones[at]
+        b, q = len(y) - a, ones[-1] - p
+        cost = p * (1 - p / a) + q * (1 - q / b)
+        k = int(np.argmin(cost))
+        if best is None or cost[k] < best[0] - 1e-9:
+            best = (float(cost[k]), f, (v[at[k]] + v[at[k] + 1]) / 2)
+    if best is None or best[0] >= len(y) * y.mean() * (1 - y.mean()) - 1e-9:
         return int(y.mean() >= 0.5)
-    _, f, t, left = best
-    return (f, t, grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1))
+    _, f, t = best
+    left = x[:, f] <= t
+    return (f, float(t), grow(x[left], y[left], depth - 1), grow(x[~left], y[~left], depth - 1))
 
 
 @lru_cache(maxsize=1)
-def trained():
-    xs, ys = [], []
-    for page in _labelled_pages():
-        found = blocks(page, marks=True)
-        xs.append(features(found))
-        ys.append([f[6] == "1" for f in found])
-    return grow(np.concatenate(xs), np.concatenate(ys).astype(float))
+def trained() -> tuple[object, dict[str, float]]:
+    """(the tree, how often blocks held by an element of that class or id word are main text)."""
+    pages = [blocks(page) for page in _labelled_pages()]
+    seen, kept = Counter(), Counter()
+    for b in (b for page in pages for b in page):
+        seen.update(b.names)
+        kept.update(b.names if b.mark else ())
+    rates = {w: (kept[w] + 1) / (k + 2) for w, k in seen.items() if k > 1}
+    x = np.concatenate([features(page, rates) for page in pages])
+    return grow(x, np.array([b.mark for page in pages for b in page], float)), rates
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:
@@ -208,22 +320,19 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def main_text(html: str | None, tree=None) -> str:
-    found = blocks(html or "")
-    if not found:
-        return ""
-    keep = classify(trained() if tree is None else tree, features(found))
-    return "\n".join(f[0] for f, k in zip(found, keep) if k)
+def main_text(html: str | None) -> str:
+    found, (tree, rates) = blocks(html or ""), trained()
+    return "\n".join(f.text for f, k in zip(found, classify(tree, features(found, rates))) if k)
 
 
 def _run(batches):
+    tree, rates = trained()
     for b in batches:
-        html = b.column(b.num_columns - 1).to_pylist()
-        found = [blocks(h or "") for h in html]
-        keep = classify(trained(), np.concatenate([np.zeros((0, _WIDTH)), *map(features, found)]))
+        found = [blocks(h or "") for h in b.column(b.num_columns - 1).to_pylist()]
+        keep = classify(tree, np.concatenate([np.zeros((0, _WIDTH)), *(features(f, rates) for f in found)]))
         at, texts = 0, []
         for page in found:
-            texts.append("\n".join(f[0] for f, k in zip(page, keep[at : at + len(page)]) if k))
+            texts.append("\n".join(f.text for f, k in zip(page, keep[at : at + len(page)]) if k))
             at += len(page)
         yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
 

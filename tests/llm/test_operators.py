@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import html
 import itertools
 import random
 import re
 import textwrap
+import time
 
 import duckdb
 import numpy as np
@@ -493,6 +495,55 @@ def test_html_unclosed_elements_and_modifiers():
         assert html_text.main_text(f"<div class='{kind}'><p>{long}</p><p>{long}</p></div>") == f"{long}\n{long}", kind
 
 
+def test_html_tree_uses_words_and_link_density():
+    tree, rates = html_text.trained()
+    used = set()
+
+    def walk(t):
+        if isinstance(t, tuple):
+            used.add(t[0])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert {0, 1} <= used and used & {2, 3, 4, 5}, used
+    pages = [html_text.blocks(p) for p in html_text._labelled_pages()]
+    x = np.concatenate([html_text.features(p, rates) for p in pages])
+    assert (html_text.classify(tree, x) == [b.mark == 1 for p in pages for b in p]).mean() > 0.98
+
+
+def test_html_plain_pages_and_lists_inside_articles():
+    long = " ".join(["word"] * 40)
+    nav = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>All news</a></li><li><a href='/c'>More</a></li></ul>"
+    assert html_text.main_text(f"<body>{nav}<h1>Title</h1><p>{long}</p><p>Short.</p><p>{long}</p>{nav}</body>") == f"Title\n{long}\nShort.\n{long}"
+    inner = "<header><a href='/'>Home</a><a href='/n'>News</a></header>"
+    more = "<h3>Read more stories</h3><ul><li><a href='/1'>Link one</a></li><li><a href='/2'>Link two</a></li></ul>"
+    assert html_text.main_text(f"<article>{inner}<h1>Title</h1><p>{long}</p><p>Short.</p>{more}</article>") == f"Title\n{long}\nShort."
+
+
+def test_html_broken_markup_takes_linear_time():
+    for x in ("<script ", '<a "', '<a ="', "<a ='x\" ", "<div>", "</div>", "<noscript><p>", "<", "<!", "<!--", "<style>", "<title>", '<div class="'):
+        began = time.perf_counter()
+        html_text.main_text(x * (300_000 // len(x)))
+        assert time.perf_counter() - began < 6, x
+    assert html_text.main_text("<div>" * 50_000 + "<article><p>deep" + "</span>" * 50_000) == "deep"
+
+
+def simple_article(page):
+    """Brute force for pages of one article without inner sections: its text cut at h1 and p."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S).group(1)
+    parts = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", inner.replace("<br>", " ")))
+    return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in parts) if t)
+
+
+def test_html_equals_brute_force_on_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").selectExpr("page_id", "html", "html AS raw")
+    rows = html_text.extract(pages).collect()
+    assert len(rows) > 100
+    for r in rows:
+        assert r.text == simple_article(r.raw) and r.n_chars == len(r.text)
+
+
 # --- licenses
 
 
