@@ -155,11 +155,44 @@ def test_topk_equals_brute_force(spark):
         best = sorted(((-int(q[i] @ q[j]), j) for j in range(150) if j != i))[:7]
         want |= {(i, r, j, -s) for r, (s, j) in enumerate(best, 1)}
     assert {tuple(r) for r in got} == want
+    twice = topk.top_k(df.unionByName(df), df.where("vec_id = 20").unionByName(df.where("vec_id = 20")), k=4).collect()
+    once = [r for r in topk.top_k(df, df.where("vec_id = 20"), k=2).collect()]
+    assert sorted(tuple(r)[2:] for r in twice) == sorted(tuple(r)[2:] for r in once for _ in range(4))
     few = df.where("vec_id < 3")
     assert topk.top_k(few, few.where("vec_id = 0"), k=7).count() == 2
     assert topk.top_k(df.limit(0), df.limit(0), k=7).count() == 0
 
 
+def test_topk_gives_few_pairs_a_full_score(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 1500)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 64)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(5000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    counts = {}
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=10, counts=counts).collect()
+    q = np.floor(64 * v.astype(np.float64)).astype(int)
+    s = q[::20] @ q.T
+    s[np.arange(250), np.arange(250) * 20] = -(10**9)
+    want = {(20 * i, r, int(j), int(s[i, j])) for i in range(250) for r, j in enumerate(np.lexsort((np.arange(5000), -s[i]))[:10], 1)}
+    assert {tuple(r) for r in got} == want
+    assert counts["pairs"] == 250 * 5000 and counts["full"] < counts["pairs"] // 5
+
+
+@pytest.mark.parametrize("size", [1, 10**5, 10**8, 10**9])
+def test_topk_of_large_numbers_and_single_components(spark, size):
+    rng = np.random.default_rng(size)
+    for dim in (1, 3):
+        v = rng.integers(-size, size + 1, size=(60, dim))
+        df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+        got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5, scale=1).collect()
+        want = set()
+        for i in range(0, 60, 20):
+            best = sorted((-sum(int(a) * int(b) for a, b in zip(v[i], v[j])), j) for j in range(60) if j != i)[:5]
+            want |= {(i, r, j, -s) for r, (s, j) in enumerate(best, 1)}
+        assert {tuple(r) for r in got} == want
+
+
 # --- secrets
 
 BASE = [("assign", re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 12), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16)]
