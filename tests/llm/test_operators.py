@@ -8,6 +8,7 @@ import random
 import re
 import textwrap
 import time
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -590,10 +591,33 @@ def test_wrapped_licenses(spark):
                 names.append(name)
                 texts.append("\n".join(mark + x for x in lines))
     isc = licenses.KNOWN["ISC"][0].replace("that the above copyright notice", "that the above\ncopyright notice")
-    rows = sorted(licenses.license_scan(frame(spark, [*texts, isc])).collect())
+    df = frame(spark, [*texts, isc])
+    rows = sorted(licenses.license_scan(df).collect())
+    documents = df.select("doc_id", "text").toPandas()  # noqa: F841
+    assert list(map(tuple, rows)) == sorted(duckdb.sql(licenses.license_sql()).fetchall())
     assert [r.license for r in rows] == [*names, "ISC"]
 
 
+def test_long_licenses_and_repeated_ids(spark):
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / "GPL-3").exists():
+        pytest.skip("no texts of the long licences here")
+    gpl, apache = (folder / "GPL-3").read_text(), (folder / "Apache-2.0").read_text()
+    line = "Released under the MIT License"
+    rows = [(1, gpl), (1, line), (1, line), (None, apache.upper()), (None, f"{line}\n{line}"), (2, gpl + " more"), (3, apache.split("END OF TERMS")[0]), (4, "words " * 300_000 + "\n" + line)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id or 0, r.license, r.n_lines, r.notices) for r in licenses.license_scan(df).collect()), key=str)
+    want = [(1, "GPL-3.0", 0, ""), (1, "MIT", 1, "MIT"), (1, "MIT", 1, "MIT"), (0, "Apache-2.0", 0, ""), (0, None, 2, "MIT"), (2, None, 0, ""), (3, "Apache-2.0", 0, ""), (4, None, 1, "MIT")]
+    assert got == sorted(want, key=str)
+
+
+def test_license_filter_lets_all_known_texts_through():
+    for texts in licenses.KNOWN.values():
+        for t in texts:
+            c = licenses.canonical(t)
+            assert any(x in c for x in ("licens", "permi", "under cc")), t
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN["MIT"][0]
     texts = [mit, "Copyright (c) 2020 A. Nyone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE"), "story\nReleased under the MIT Licence.\nend", None, "", mit + " more", "© 1999 X\nLicensed under CC BY-NC 4.0"]
