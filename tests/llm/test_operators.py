@@ -12,6 +12,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -56,6 +57,34 @@ def test_bisection_meets_targets():
     assert mixing.bisect_alpha([5, 5], repetition=1.5) == 0.0
 
 
+def test_targets_that_cannot_be_met_raise():
+    with pytest.raises(ValueError):
+        mixing.bisect_alpha([100, 100], repetition=1.5, budget=2000)
+    with pytest.raises(ValueError):
+        mixing.bisect_alpha([100, 50], repetition=0.5)
+    with pytest.raises(ValueError):
+        mixing.bisect_alpha([100, 50], entropy_share=1.5)
+    assert mixing.bisect_alpha([100, 50], repetition=1.5, budget=225) == 1.0
+    a = mixing.bisect_alpha([1000, 10], repetition=2.0, budget=300)
+    assert max(x * 300 / t for t, x in zip([1000, 10], mixing.weights([1000, 10], a))) <= 2.0 + 1e-6
+
+
+@pytest.mark.parametrize("target", [{"entropy_share": 0.9, "budget": 700}, {"entropy_share": 0.5}, {"repetition": 1.5, "budget": 900}])
+def test_mix_to_a_budget_with_repeated_ids_and_a_long_text(spark, target):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(1, 9))) for _ in range(200)] + ["w " * 100_000 if "budget" not in target else "w"]
+    sources = ["big"] * 150 + ["small"] * 49 + ["long"] * 2
+    df = frame(spark, texts, sources).selectExpr("least(doc_id, 198) AS doc_id", "text", "source", "lang AS mix_key")
+    got = mixing.mix(df, **target, marks=True).toPandas()
+    _, table = mixing.plan(df, **target)
+    for r in table.collect():
+        used = sum(len(t.split()) for t in got.text[got.source == r.source])
+        longest = max(len(t.split()) for t, x in zip(texts, sources) if x == r.source)
+        assert r.budget <= used < r.budget + 2 * longest
+        for _, part in got[got.source == r.source].groupby("mix_epoch"):
+            assert part.text.value_counts().le(pd.Series(texts).value_counts().reindex(part.text.unique()).max()).all()
+
+
 def test_mix_covers_all_and_meets_budgets(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choices(WORDS, k=rng.randint(1, 9))) for _ in range(300)] + [None, ""]
@@ -239,6 +268,30 @@ def test_dedup_equals_brute_force(spark):
     assert embed_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_dedup_of_many_vectors_a_label_reaches_recall(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3000, 24))
+    v = np.concatenate([base, base[:600] + rng.normal(size=(600, 24)) * 0.12, base[:300], base[:1].repeat(400, 0) + rng.normal(size=(400, 24)) * 0.02]).astype(np.float32)
+    label = [int(i % 2) for i in [*range(3000), *range(600), *range(300)]] + [0] * 400
+    df = spark.createDataFrame([(i, x.tolist(), c) for i, (x, c) in enumerate(zip(v, label))], "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embed_dedup.embedding_dedup(df, 0.98).collect()}
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.98) & (np.array(label)[:, None] == label)
+    np.fill_diagonal(link, False)
+    truth, found = link.sum(axis=1), np.array([got[i].n_links for i in range(len(v))])
+    assert truth.sum() > 100_000 and (found <= truth).all() and found.sum() >= 0.97 * truth.sum()
+    assert (found[:3000] == truth[:3000]).mean() > 0.97
+
+
+def test_dedup_of_null_and_repeated_ids(spark):
+    x, y = [1.0, 2.0, 0.0], [0.0, -1.0, 5.0]
+    rows = [(None, x, 1), (7, x, 1), (7, [2.0, 4.0, -0.0], 1), (None, y, 1), (None, y, 1), (3, y, 2), (None, None, 1), (4, [1.0, None, 2.0], 1), (5, x, None)]
+    got = embed_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").selectExpr("*", "1 AS n_links")).collect()
+    want = [(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (None, 1, None, False), (None, 1, None, False), (3, 0, 3, True), (None, 0, None, False), (4, 0, 4, True), (5, 0, 5, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_a_group_in_blocks_counts_every_pair(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 7)
     rng = np.random.default_rng(8)
@@ -383,15 +436,15 @@ def test_pseudonyms_beside_other_digits():
 
 
 def test_machine_learns_pairs_that_no_sum_can():
-    rng = np.random.default_rng(0)
-    x = rng.random((3000, 6)) < 0.5
+    x = np.random.default_rng(0).random((3000, 6)) < 0.5
     y = (x[:, 0] ^ x[:, 1]).astype(int)
     rows = [np.flatnonzero(r) for r in x]
     m = toxicity.fit(rows, y)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    s = m.scores(np.concatenate(rows), owner, len(rows))
-    if (m.slot[:2] >= 0).all():
-        assert ((s >= 0.5) == y).mean() > 0.9
+    args = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
+    assert (m.slot[:2] >= 0).all()
+    assert ((m.scores(*args) >= 0.5) == y).mean() > 0.9
+    additive = toxicity.learn(m.slot, [m.slot[r] for r in rows], y, factors=0)
+    assert ((additive.scores(*args) >= 0.5) == y).mean() < 0.6
 
 
 def test_machine_fits_terms_that_tell_only_in_a_pair():
