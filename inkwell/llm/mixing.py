@@ -45,7 +45,12 @@ def budget_for(tokens: list[int], w: list[float], budget: int | None) -> float:
 
 
 def bisect_alpha(tokens: list[int], repetition: float | None = None, entropy_share: float | None = None, budget: int | None = None) -> float:
-    """The least alpha in [0, 1] whose repetitions stay within the limit, or the greatest that has the share of the highest entropy."""
+    """The least alpha in [0, 1] whose repetitions stay within the limit, or the greatest that has the share of the highest entropy.
+
+    A budget that no alpha can meet within the limit raises an error, as do targets out of range.
+    """
+    if entropy_share is not None and not 0 <= entropy_share <= 1 or repetition is not None and repetition <= 0:
+        raise ValueError("a share of the entropy lies in 0..1, a repetition above 0")
 
     def flat_enough(alpha):  # holds at 0 and, as alpha grows, ceases to
         return entropy(weights(tokens, alpha)) >= entropy_share * math.log(len(tokens))
@@ -65,6 +70,8 @@ def bisect_alpha(tokens: list[int], repetition: float | None = None, entropy_sha
         return round(lo, 9)
     if even_enough(0.0):
         return 0.0
+    if not even_enough(1.0) and (budget is None or budget > repetition * sum(tokens) * (1 + 1e-12)):
+        raise ValueError(f"no weights keep repetitions within {repetition}: {sum(tokens)} tokens for a budget of {budget}")
     for _ in range(STEPS):
         mid = (lo + hi) / 2
         lo, hi = (lo, mid) if even_enough(mid) else (mid, hi)
