@@ -18,11 +18,16 @@ LANGUAGE_WORDS = {
     "es": ("el", "los", "que", "por", "una", "las", "para", "con", "del"),
     "fr": ("le", "les", "des", "et", "est", "une", "dans", "pour", "qui"),
 }
-ISO_639_3 = {"ar": "ara", "de": "deu", "en": "eng", "es": "spa", "fr": "fra", "hi": "hin", "it": "ita", "ja": "jpn", "ko": "kor", "nl": "nld", "pt": "por", "ru": "rus", "zh": "zho"}
+ISO_639_3 = {"ar": "ara", "da": "dan", "de": "deu", "el": "ell", "en": "eng", "es": "spa", "fr": "fra", "hi": "hin", "it": "ita", "ja": "jpn", "ko": "kor", "nl": "nld", "no": "nor", "pt": "por", "ru": "rus", "sv": "swe", "zh": "zho"}
 POSITIVE = ("gain", "good", "great", "growth", "improve", "profit", "rise", "strong", "success", "win")
 NEGATIVE = ("bad", "crisis", "decline", "fall", "fear", "loss", "poor", "risk", "war", "weak")
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value worked out once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def all_text(title: Column, text: Column) -> Column:
     """title, '. ' and text; null if either is."""
     return F.concat(title, F.lit(". "), text)
@@ -39,9 +44,13 @@ def tokens(text: Column, stop_words=STOP_WORDS) -> Column:
 
 
 def lemmatise(df: DataFrame, token_col: str, lemmas: DataFrame) -> DataFrame:
-    """Replaces tokens by their lemma where the dictionary (word, lemma) has one; the planner picks the join."""
-    at = df.withColumn("__row", F.monotonically_increasing_id())
-    flat = at.select("__row", F.posexplode(token_col).alias("__pos", "word")).join(lemmas, "word", "left")
+    """Replaces tokens by their lemma where the dictionary (word, lemma) has one; the planner picks the join.
+
+    Rows are told apart by a digest of their tokens, which a second reading gives again.
+    """
+    at = df.withColumn("__row", F.sha2(F.array_join(token_col, " "), 256))
+    flat = at.select("__row", F.col(token_col).alias("__t")).dropDuplicates(["__row"]).select("__row", F.posexplode("__t").alias("__pos", "word"))
+    flat = flat.join(lemmas.select("word", "lemma").dropDuplicates(["word"]), "word", "left")
     back = flat.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", F.coalesce("lemma", "word").alias("w")))), lambda x: x["w"]).alias("__tokens"))
     joined = at.join(back, "__row", "left")
     return joined.withColumn(token_col, F.when(F.col(token_col).isNotNull(), F.coalesce("__tokens", F.array().cast("array<string>")))).drop("__row", "__tokens")
@@ -56,28 +65,30 @@ def contains_any(text: Column, parts) -> Column:
 
 
 def countries(text: Column, gazetteer=GAZETTEER) -> Column:
-    """The names of the gazetteer that the text has as whole words, in the gazetteer's order."""
+    """The names of the gazetteer that the text has as whole words, in the gazetteer's order; null for null."""
     padded = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}]+", " "), F.lit(" "))
-    return F.filter(F.array(*map(F.lit, gazetteer)), lambda c: padded.contains(F.concat(F.lit(" "), c, F.lit(" "))))
+    found = let(padded, lambda p: F.filter(F.array(*map(F.lit, gazetteer)), lambda c: p.contains(F.concat(F.lit(" "), c, F.lit(" ")))))
+    return F.when(text.isNotNull(), found)
+
+
+def _hits(w: Column, own) -> Column:
+    return F.size(F.filter(w, lambda x: x.isin(*own)))
 
 
 def language(text: Column) -> Column:
     """The language whose frequent words make up most of the text, ties to the first in order; null without any."""
-    w = words(text)
 
-    def score(k: int, code: str, own) -> Column:
-        return F.struct(F.size(F.filter(w, lambda x: x.isin(*own))).alias("n"), F.lit(-k).alias("k"), F.lit(code).alias("code"))
+    def best(w):
+        scores = [F.struct(_hits(w, own).alias("n"), F.lit(-k).alias("k"), F.lit(code).alias("code")) for k, (code, own) in enumerate(sorted(LANGUAGE_WORDS.items()))]
+        return F.greatest(*scores)
 
-    scores = [score(k, code, own) for k, (code, own) in enumerate(sorted(LANGUAGE_WORDS.items()))]
-    best = F.greatest(*scores)
-    return F.when(best["n"] > 0, best["code"])
+    return let(let(words(text), best), lambda b: F.when(b["n"] > 0, b["code"]))
 
 
 def sentiment(text: Column) -> Column:
     """positive_1, negative_1 or neutral_1 by a small lexicon."""
-    w = words(text)
-    score = F.size(F.filter(w, lambda x: x.isin(*POSITIVE))) - F.size(F.filter(w, lambda x: x.isin(*NEGATIVE)))
-    return F.when(score > 0, "positive_1").when(score < 0, "negative_1").when(score == 0, "neutral_1")
+    score = let(words(text), lambda w: F.when(w.isNotNull(), _hits(w, POSITIVE) - _hits(w, NEGATIVE)))
+    return let(score, lambda s: F.when(s > 0, "positive_1").when(s < 0, "negative_1").when(s == 0, "neutral_1"))
 
 
 def host(url: Column) -> Column:
@@ -110,6 +121,30 @@ def wildcard(pattern: str) -> str:
     return pattern.replace("*", "%")
 
 
+#: What the classifier's tokenizer drops before it splits at blanks.
+_DROPPED = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n"
+
+
+def token_ids(text: Column, vocabulary: dict[str, int], length: int) -> Column:
+    """The ids of a text's known words, in order, cut and padded on the left to `length`; null for null.
+
+    The vocabulary, a file's worth, travels with the function; texts are read in Arrow batches.
+    """
+    table = str.maketrans(_DROPPED, " " * len(_DROPPED))
+
+    @F.pandas_udf("array<int>")
+    def run(texts):
+        def one(t):
+            if t is None:
+                return None
+            ids = [i for w in t.lower().translate(table).split(" ") if (i := vocabulary.get(w)) is not None][-length:]
+            return [0] * (length - len(ids)) + ids
+
+        return texts.map(one)
+
+    return run(text)
+
+
 def database_uri(connection: str, database: str, collection: str) -> str:
     """The connection string with its path replaced by database.collection; the query string stays."""
     base, mark, query = connection.partition("?")

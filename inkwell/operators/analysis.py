@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions import text as T
+from inkwell.functions.store import written
 
 # --- counts ------------------------------------------------------------------
 
@@ -39,36 +40,69 @@ def country_shares(df: DataFrame) -> DataFrame:
 # --- TF-IDF ------------------------------------------------------------------
 
 
-def with_tokens(df: DataFrame) -> DataFrame:
-    return df.withColumns({"title_tokens": T.tokens(F.col("title")), "text_tokens": T.tokens(F.col("text"))})
+def with_tokens(df: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """Adds title_tokens and text_tokens; with a dictionary (word, lemma), words become lemmas before stop words go."""
+    if lemmas is None:
+        return df.withColumns({"title_tokens": T.tokens(F.col("title")), "text_tokens": T.tokens(F.col("text"))})
+    df = df.withColumns({"title_tokens": T.words(F.col("title")), "text_tokens": T.words(F.col("text"))})
+    for c in ("title_tokens", "text_tokens"):
+        df = T.lemmatise(df, c, lemmas).withColumn(c, F.filter(c, lambda x: ~x.isin(*T.STOP_WORDS)))
+    return df
 
 
 def term_frequency(df: DataFrame, token_col: str) -> DataFrame:
     return df.select("id", F.explode(token_col).alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
 
 
-def inverse_frequency(df: DataFrame) -> DataFrame:
+def term_counts(df: DataFrame) -> DataFrame:
+    """(id, word, title_tf, text_tf) of both token columns, by one pass and one shuffle, written: the rest of TF-IDF reads this."""
+    def side(c, in_title):
+        return F.coalesce(F.transform(c, lambda w: F.struct(w.alias("word"), F.lit(in_title).alias("in_title"))), F.array().cast("array<struct<word:string,in_title:int>>"))
+
+    flat = df.select("id", F.inline(F.concat(side("title_tokens", 1), side("text_tokens", 0))))
+    return written(flat.groupBy("id", "word").agg(F.sum("in_title").alias("title_tf"), F.sum(1 - F.col("in_title")).alias("text_tf")), "terms")
+
+
+def inverse_frequency(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(word, df, idf) over title and text together: ln((m + 1) / (df + 1)) with m articles. To save one, write it."""
-    pairs = df.select("id", F.explode(F.array_distinct(F.concat("title_tokens", "text_tokens"))).alias("word"))
+    pairs = df.select("id", F.explode(F.array_distinct(F.concat("title_tokens", "text_tokens"))).alias("word")) if counts is None else counts
     m = df.agg(F.count("*").alias("m")).scalar()
     return pairs.groupBy("word").agg(F.count("*").alias("df")).withColumn("idf", F.ln((m + 1.0) / (F.col("df") + 1)))
 
 
-def top_words(df: DataFrame, token_col: str, idf: DataFrame, n: int) -> DataFrame:
-    """(id, word, value, rank): the n best words of a field, ties by word. Words that a saved idf lacks are left out."""
-    valued = term_frequency(df, token_col).join(idf.select("word", "idf"), "word").withColumn("value", F.col("tf") * F.col("idf"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("value"), "word"))
-    return valued.withColumn("rank", rank).where(F.col("rank") <= n).select("id", "word", "value", F.col("rank").cast("bigint").alias("rank"))
-
+def ranked_words(df: DataFrame, n: int, idf: DataFrame | None = None) -> DataFrame:
+    """(id, word, title_value, title_rank, text_value, text_rank) of the words that are among the n best of a field.
 
-def top_tfidf(df: DataFrame, n: int = 20, idf: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """Adds title_tokens, text_tokens and title_top_n, text_top_n (array of value, word). Inner: articles without tokens in a field go."""
-    df = with_tokens(df)
-    idf = inverse_frequency(df) if idf is None else idf
+    Ties go by word, value and rank are null for the field of which a word is none of the best. Words that a saved idf lacks
+    are left out.
+    """
+    counts = term_counts(df)
+    valued = counts.join((inverse_frequency(df, counts) if idf is None else idf).select("word", "idf"), "word")
     for field in ("title", "text"):
-        best = top_words(df, f"{field}_tokens", idf, n).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("value", "word")), asc=False).alias(f"{field}_top_n"))
-        df = df.join(best, "id", how)
-    return df
+        valued = valued.withColumn(f"{field}_value", F.when(F.col(f"{field}_tf") > 0, F.col(f"{field}_tf") * F.col("idf")))
+    for field in ("title", "text"):
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col(f"{field}_value").desc_nulls_last(), "word"))
+        valued = valued.withColumn(f"{field}_rank", F.when(F.col(f"{field}_value").isNotNull() & (rank <= n), rank.cast("bigint")))
+    kept = valued.where("title_rank is not null or text_rank is not null")
+    return kept.select("id", "word", *(F.when(F.col(f"{field}_rank").isNotNull(), F.col(f"{field}_{x}")).alias(f"{field}_{x}") for field in ("title", "text") for x in ("value", "rank")))
+
+
+def top_words(df: DataFrame, field: str, n: int, idf: DataFrame | None = None) -> DataFrame:
+    """(id, word, value, rank): the n best words of title or text."""
+    return ranked_words(df, n, idf).where(f"{field}_rank is not null").select("id", "word", F.col(f"{field}_value").alias("value"), F.col(f"{field}_rank").alias("rank"))
+
+
+def top_tfidf(df: DataFrame, n: int = 20, idf: DataFrame | None = None, how: str = "inner", lemmas: DataFrame | None = None) -> DataFrame:
+    """Adds title_tokens, text_tokens and title_top_n, text_top_n (array of value, word). Inner: articles without tokens in a field go.
+
+    The arrays are written, so what is built on them reads them back instead of working them out again.
+    """
+    df = with_tokens(df, lemmas)
+    best = [F.sort_array(F.collect_list(F.when(F.col(f"{f}_rank").isNotNull(), F.struct(F.col(f"{f}_value").alias("value"), "word"))), asc=False) for f in ("title", "text")]
+    top = ranked_words(df, n, idf).groupBy("id").agg(*(F.when(F.size(b) > 0, b).alias(f"{f}_top_n") for f, b in zip(("title", "text"), best)))
+    if how == "inner":
+        top = top.where("title_top_n is not null and text_top_n is not null")
+    return df.join(written(top, "top"), "id", how)
 
 
 # --- entities ----------------------------------------------------------------
@@ -130,6 +164,11 @@ def word_values(tfidf: DataFrame) -> DataFrame:
     return title.unionByName(text).groupBy("id", "word").agg(F.max("title_value").alias("title_value"), F.max("text_value").alias("text_value"))
 
 
+def all_nodes(articles: DataFrame, words: DataFrame) -> DataFrame:
+    """Article and word nodes in one table; each has nulls for what only the other has."""
+    return articles.unionByName(words, allowMissingColumns=True)
+
+
 def weighted(values: DataFrame) -> DataFrame:
     weight = F.coalesce("title_value", F.lit(0.0)) / TITLE_PART + F.coalesce("text_value", F.lit(0.0)) / TEXT_PART
     return values.select("id", "word", weight.alias("weight")).where("weight > 0")
@@ -154,6 +193,11 @@ def article_top_words(values: DataFrame, n: int = 20) -> DataFrame:
     return weighted(values).withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= n)
 
 
+def token_total() -> Column:
+    """Tokens of title and text together."""
+    return F.size("title_tokens") + F.size("text_tokens")
+
+
 def length_bucket(n: Column) -> Column:
     out = F.when(n <= 200, "wc200")
     for top in (500, 1000, 2000, 3000, 5000):
@@ -168,7 +212,7 @@ def date_features(d: Column) -> list[Column]:
 def node_values(tfidf: DataFrame, n: int = 20) -> DataFrame:
     """(id, value): top words, length bucket, sentiment and dates of an article, joined by commas."""
     top = article_top_words(word_values(tfidf), n).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ",").alias("words"))
-    extra = tfidf.select("id", length_bucket(F.size("text_tokens")).alias("length"), T.sentiment(F.col("text")).alias("mood"), *date_features(F.col("publish_date")))
+    extra = tfidf.select("id", length_bucket(token_total()).alias("length"), T.sentiment(F.col("text")).alias("mood"), *date_features(F.col("publish_date")))
     return extra.join(top, "id").select("id", F.concat_ws(",", "words", "length", "mood", "month", "day", "weekday").alias("value"))
 
 
@@ -255,10 +299,15 @@ def accumulate_embeddings(df: DataFrame, embeddings: DataFrame, features: list[s
 
 def news2vec_features(tfidf: DataFrame) -> DataFrame:
     wide = feature_pivot(word_values(tfidf))
-    extra = tfidf.select("id", "title", "text", "publish_date", "url", length_bucket(F.size("text_tokens")).alias("num_words_ord"), T.sentiment(F.col("text")).alias("sentiment"), *date_features(F.col("publish_date")))
+    extra = tfidf.select("id", "title", "text", "publish_date", "url", length_bucket(token_total()).alias("num_words_ord"), T.sentiment(F.col("text")).alias("sentiment"), *date_features(F.col("publish_date")))
     return extra.join(wide, "id")
 
 
+def export_features(tfidf: DataFrame) -> DataFrame:
+    """title, text, publish_date, url, the top words '1' to '20' and the five other features."""
+    return news2vec_features(tfidf).select("title", "text", "publish_date", "url", *(F.col(f"`{c}`") for c in FEATURE_COLUMNS), "num_words_ord", "sentiment", "month", "day", "weekday")
+
+
 def news2vec_embed(tfidf: DataFrame, embeddings: DataFrame, how: str = "inner") -> DataFrame:
     """title, text, publish_date, url, embedding; inner: articles without a known token go."""
     f = news2vec_features(tfidf)
@@ -301,6 +350,18 @@ def score_batches(df: DataFrame, scorer, column: str, output: str) -> DataFrame:
     return df.withColumn(output, run(column))
 
 
+def map_with_index(df: DataFrame, index: str, column: str, mapped: str, func, kind: str = "double", **options) -> DataFrame:
+    """(index, mapped): func(list of values, **options) -> list, over a batch of a partition at a time."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({index: b[index], mapped: list(func(b[column].tolist(), **options))})
+
+    of = df.schema[index].dataType.simpleString()
+    return df.select(index, column).mapInPandas(run, f"`{index}` {of}, `{mapped}` {kind}")
+
+
 def find_topics(df: DataFrame, k: int = 10, words_each: int = 10, seed: int = 7) -> DataFrame:
     """(topic, word, weight) of a topic model over the tokens of title and text; words in over 90 % of articles or in only one are left out.
 
@@ -318,6 +379,6 @@ def find_topics(df: DataFrame, k: int = 10, words_each: int = 10, seed: int = 7)
 
 
 def batches(df: DataFrame, max_rows: int, key: str = "id") -> DataFrame:
-    """Adds batch: about max_rows rows each, by hash of a key; no global sort."""
+    """Adds batch: about max_rows rows each, by digest of a key; no global sort."""
     n = F.greatest(F.lit(1), (df.agg(F.count("*").alias("n")).scalar() / max_rows).cast("bigint"))
-    return df.withColumn("batch", F.pmod(F.xxhash64(key), n))
+    return df.withColumn("batch", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % n)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from inkwell.functions import text as X
 from inkwell.operators import analysis, filters
@@ -59,6 +60,7 @@ def _in(words) -> str:
 
 
 _SCORE = f"len(list_filter(w, lambda t: list_contains({_in(X.POSITIVE)}, t))) - len(list_filter(w, lambda t: list_contains({_in(X.NEGATIVE)}, t)))"
+_NAMES = r"(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)"
 _CTE = {
     "articles": """articles AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, substring(text, length(split_part(text, chr(10), 1)) + 2) AS "text",
   'https://' || source || '.example.org/' || lang || '/' || doc_id AS url,
@@ -74,15 +76,17 @@ nodes AS MATERIALIZED (SELECT word FROM vals GROUP BY word HAVING count(*) > 1),
 top20 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS rank FROM weights) WHERE rank <= 20)""",
     "features": f"""extra AS (SELECT id, {_BUCKET} AS length, CASE WHEN s > 0 THEN 'positive_1' WHEN s < 0 THEN 'negative_1' ELSE 'neutral_1' END AS mood,
   'm_' || month(publish_date) AS month, 'd_' || day(publish_date) AS day, 'wd_' || (dayofweek(publish_date) + 1) AS weekday
-  FROM (SELECT id, publish_date, len(xt) AS n, {_SCORE} AS s FROM (SELECT *, {_words_sql('text')} AS w FROM tokens)))""",
-    "stories": """flat AS (SELECT id, word, pos - 1 AS pos FROM (SELECT id, unnest(xt) AS word, generate_subscripts(xt, 1) AS pos FROM tokens WHERE lang = 'en')),
-named AS (SELECT word FROM flat WHERE length(word) >= 9 GROUP BY word HAVING count(DISTINCT id) BETWEEN 3 AND 8),
-mention AS MATERIALIZED (SELECT id, word AS entity, min(pos) AS position FROM flat WHERE word IN (SELECT word FROM named) GROUP BY id, word HAVING min(pos) < 1000)""",
+  FROM (SELECT id, publish_date, len(tt) + len(xt) AS n, {_SCORE} AS s FROM (SELECT *, {_words_sql('text')} AS w FROM tokens)))""",
+    "stories": f"""mention AS MATERIALIZED (SELECT id, lower(e) AS entity, min(instr(body, e) - 1) AS position
+  FROM (SELECT id, body, unnest(list_distinct(regexp_extract_all(body, '{_NAMES}', 1))) AS e FROM (SELECT id, title || '. ' || text AS body FROM articles)) GROUP BY ALL)""",
     "dag": """pairs AS (SELECT a.id AS old_id, b.id AS new_id, date_diff('day', x.publish_date, y.publish_date) AS days, list_sort(list(DISTINCT a.entity)) AS entities
-  FROM mention a JOIN mention b ON a.entity = b.entity JOIN articles x ON x.id = a.id JOIN articles y ON y.id = b.id WHERE x.publish_date < y.publish_date GROUP BY ALL),
+  FROM mention a JOIN mention b ON a.entity = b.entity AND a.position < 1000 AND b.position < 1000 JOIN articles x ON x.id = a.id JOIN articles y ON y.id = b.id WHERE x.publish_date < y.publish_date GROUP BY ALL),
 edges AS (SELECT old_id, new_id, entities FROM (SELECT *, row_number() OVER (PARTITION BY old_id, entities ORDER BY days, new_id) AS r FROM pairs) WHERE r = 1)""",
 }
-_CTE["vecs"] = "vecs AS (SELECT word, embedding AS e FROM (SELECT word, row_number() OVER (ORDER BY word) - 1 AS vec_id FROM (SELECT DISTINCT word FROM top20)) JOIN embeddings USING (vec_id))"
+# Words get vectors by a digest; components are whole numbers, so that sums don't depend on their order.
+_CTE["vecs"] = "vecs AS (SELECT word, list_transform(embedding, lambda x: floor(x::DOUBLE * 1000000)) AS e FROM (SELECT word, ('0x' || substr(md5(word), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT DISTINCT word FROM top20)) JOIN embeddings USING (vec_id))"
+_CTE["sums"] = "sums AS (SELECT id, string_agg(x::BIGINT, ',' ORDER BY k) AS v FROM (SELECT id, k, sum(x) AS x FROM (SELECT id, unnest(e) AS x, generate_subscripts(e, 1) AS k FROM top20 JOIN vecs USING (word)) GROUP BY id, k) GROUP BY id)"
+_CTE["node_sums"] = _CTE["sums"].replace("sums AS", "node_sums AS", 1).replace("JOIN vecs USING (word)", "JOIN vecs USING (word) WHERE word IN (SELECT word FROM nodes)")
 _TFIDF = ("articles", "tokens", "idf", "top")
 _GRAPH = (*_TFIDF, "graph")
 
@@ -152,7 +156,9 @@ def distinct_url(spark, d):
 
 @query("SELECT id, publish_date FROM articles ORDER BY publish_date DESC, id LIMIT 50")
 def limit_topn(spark, d):
-    return articles(spark, d).orderBy(F.desc("publish_date"), "id").limit(50).select("id", "publish_date")
+    from inkwell.plans.pipeline import Pipeline
+
+    return Pipeline(articles(spark, d).orderBy(F.desc("publish_date"), "id")).limit_num_articles(50).get_features(["id", "publish_date"]).collect()
 
 
 @query("SELECT url FROM articles WHERE NOT url LIKE '%/fr/%'")
@@ -162,9 +168,13 @@ def url_only(spark, d):
     return Pipeline(articles(spark, d)).exclude_in_url(["*/fr/*"]).url_only().collect()
 
 
-@query("SELECT id, md5(title) AS title FROM articles WHERE title IS NOT NULL")
+@query("SELECT id, length(title) || ':' || title AS title FROM articles WHERE title IS NOT NULL")
 def apply_udf(spark, d):
-    return filters.apply_udf(articles(spark, d), F.md5, "title").select("id", "title")
+    @F.pandas_udf("string")
+    def measured(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: f"{len(t)}:{t}")
+
+    return filters.apply_udf(articles(spark, d), measured, "title").select("id", "title")
 
 
 _INDEX_CTE = "idx AS (SELECT url, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)?', 1) AS url_path, page_id FROM pages)"
@@ -244,8 +254,7 @@ def doc_freq_idf(spark, d):
 
 
 def _top(spark, d, field):
-    t = analysis.with_tokens(articles(spark, d))
-    return analysis.top_words(t, f"{field}_tokens", analysis.inverse_frequency(t), 20).withColumn("value", F.round("value", 6))
+    return analysis.top_words(analysis.with_tokens(articles(spark, d)), field, 20).withColumn("value", F.round("value", 6))
 
 
 @query("SELECT id, word, round(value, 6) AS value, rank FROM top WHERE field = 'title'", _TFIDF)
@@ -274,7 +283,7 @@ def word_nodes(spark, d):
 @query("SELECT 'article' AS kind, title AS label FROM articles WHERE id IN (SELECT id FROM both_fields) UNION ALL SELECT 'word', word FROM nodes", _GRAPH)
 def node_union(spark, d):
     arts, nodes, _ = analysis.tfidf_graph(_tfidf(spark, d))
-    both = arts.unionByName(nodes, allowMissingColumns=True)
+    both = analysis.all_nodes(arts, nodes)
     return both.select(F.when(F.col("word").isNull(), "article").otherwise("word").alias("kind"), F.coalesce("word", "title").alias("label"))
 
 
@@ -297,7 +306,7 @@ def article_top20(spark, d):
 @query("SELECT id, length FROM extra", ("articles", "tokens", "features"))
 def num_words_bucket(spark, d):
     t = analysis.with_tokens(articles(spark, d))
-    return t.select("id", analysis.length_bucket(F.size("text_tokens")).alias("length"))
+    return t.select("id", analysis.length_bucket(analysis.token_total()).alias("length"))
 
 
 @query("SELECT id, month, day, weekday FROM extra", ("articles", "tokens", "features"))
@@ -328,32 +337,29 @@ def news2vec_edges(spark, d):
     return analysis.news2vec_graph(_tfidf(spark, d))[0].groupBy("id1").agg(F.count("*").alias("degree"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
-@query("SELECT id, count(*) AS n FROM (SELECT DISTINCT id, unnest(regexp_extract_all(title || '. ' || text, '(\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)+)', 1)) AS e FROM articles) GROUP BY id")
+@query(f"SELECT id, lower(e) AS entity, instr(body, e) - 1 AS position FROM (SELECT id, body, unnest(list_distinct(regexp_extract_all(body, '{_NAMES}', 1))) AS e FROM (SELECT id, title || '. ' || text AS body FROM articles))")
 def entities_capitalised(spark, d):
-    found = analysis.capitalised_entities(articles(spark, d))
-    return found.select("id", F.size("entities").cast("bigint").alias("n")).where("n > 0")
+    found = analysis.explode_entities(analysis.capitalised_entities(articles(spark, d)))
+    return found.select("id", "entity", F.col("position").cast("bigint").alias("position"))
 
 
 def _stories(spark, d):
-    """English articles with rare long tokens as entities, placed by token."""
-    t = analysis.with_tokens(articles(spark, d)).where("lang = 'en'")
-    flat = t.select("id", F.posexplode("text_tokens").alias("position", "entity")).where(F.length("entity") >= 9)
-    named = flat.groupBy("entity").agg(F.count_distinct("id").alias("n")).where("n between 3 and 8").select("entity")
-    mentions = analysis.first_mentions(flat.join(named, "entity").withColumn("type", F.lit("WORD"))).where("position < 1000")
-    return t, mentions
+    """All articles, and the first mention of each name in each."""
+    found = analysis.capitalised_entities(articles(spark, d))
+    return found, analysis.first_mentions(analysis.explode_entities(found))
 
 
-@query("SELECT id, entity, position FROM mention", ("articles", "tokens", "stories"))
+@query("SELECT id, entity, position FROM mention", ("articles", "stories"))
 def entities_first_mention(spark, d):
     return _stories(spark, d)[1].select("id", "entity", F.col("position").cast("bigint").alias("position"))
 
 
-@query("SELECT id, entity FROM mention WHERE NOT regexp_matches(entity, 'thing') AND NOT regexp_matches(entity, '^on')", ("articles", "tokens", "stories"))
+@query("SELECT id, entity FROM mention WHERE NOT regexp_matches(entity, 'license') AND NOT regexp_matches(entity, '^th')", ("articles", "stories"))
 def entity_blacklist(spark, d):
-    return analysis.blacklist(_stories(spark, d)[1], ["thing", "^on"]).select("id", "entity")
+    return analysis.blacklist(_stories(spark, d)[1], ["license", "^th"]).select("id", "entity")
 
 
-@query("SELECT id, count(*) AS n, string_agg(entity, ',' ORDER BY position, entity) AS entities FROM mention GROUP BY id", ("articles", "tokens", "stories"))
+@query("SELECT id, count(*) AS n, string_agg(entity, ',' ORDER BY position, entity) AS entities FROM mention GROUP BY id", ("articles", "stories"))
 def entity_arrays(spark, d):
     out = analysis.collect_entities(*_stories(spark, d))
     return out.select("id", F.size("entities").cast("bigint").alias("n"), F.array_join(F.transform("entities", lambda e: e["entity"]), ",").alias("entities"))
@@ -363,12 +369,12 @@ def _dag(spark, d):
     return analysis.entity_dag(analysis.collect_entities(*_stories(spark, d)))[1]
 
 
-@query("SELECT old_id, new_id, unnest(entities) AS entity FROM edges", ("articles", "tokens", "stories", "dag"))
+@query("SELECT old_id, new_id, unnest(entities) AS entity FROM edges", ("articles", "stories", "dag"))
 def entity_dag_edges(spark, d):
     return _dag(spark, d).select("old_id", "new_id", "entity")
 
 
-@query("SELECT old_id, new_id, max(entity) AS entity FROM (SELECT old_id, new_id, unnest(entities) AS entity FROM edges) GROUP BY ALL", ("articles", "tokens", "stories", "dag"))
+@query("SELECT old_id, new_id, max(entity) AS entity FROM (SELECT old_id, new_id, unnest(entities) AS entity FROM edges) GROUP BY ALL", ("articles", "stories", "dag"))
 def dag_single_edge(spark, d):
     return analysis.single_edges(_dag(spark, d))
 
@@ -378,14 +384,24 @@ def feature_pivot(spark, d):
     return analysis.feature_pivot(_values(spark, d))
 
 
-@query("SELECT id, round(sum(e[1]::DOUBLE), 4) AS x1, round(sum(e[64]::DOUBLE), 4) AS x64 FROM top20 JOIN vecs USING (word) GROUP BY id", (*_GRAPH, "vecs"))
+def _vectors(spark, d, words):
+    e = _t(spark, d, "embeddings")
+    n = e.agg(F.count("*").alias("n")).scalar()
+    at = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % n
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("double"))
+    return words.select("word", at.alias("vec_id")).join(e, "vec_id").select(F.col("word").alias("token"), whole.alias("token_embedding"))
+
+
+def _said(embedding):
+    return F.array_join(F.transform(embedding, lambda x: x.cast("bigint")), ",")
+
+
+@query("SELECT id, v AS embedding FROM sums", (*_GRAPH, "vecs", "sums"))
 def embedding_sum(spark, d):
-    values = _values(spark, d)
-    top = analysis.article_top_words(values)
-    ranked = top.select("word").distinct().withColumn("vec_id", F.row_number().over(Window.orderBy("word")).cast("bigint") - 1)
-    vectors = ranked.join(_t(spark, d, "embeddings"), "vec_id").select(F.col("word").alias("token"), F.col("embedding").alias("token_embedding"))
-    sums = analysis.accumulate_embeddings(analysis.feature_pivot(values), vectors, analysis.FEATURE_COLUMNS)
-    return sums.select("id", F.round(F.get("embedding", F.lit(0)), 4).alias("x1"), F.round(F.get("embedding", F.lit(63)), 4).alias("x64"))
+    top = analysis.article_top_words(_values(spark, d))
+    wide = top.groupBy("id").pivot("rank", list(range(1, 21))).agg(F.max("word"))
+    sums = analysis.accumulate_embeddings(wide, _vectors(spark, d, top.select("word").distinct()), analysis.FEATURE_COLUMNS)
+    return sums.select("id", _said("embedding").alias("embedding"))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages", ())
@@ -415,11 +431,32 @@ def complete_articles(spark, d):
     return filters.complete(articles(spark, d)).select("id")
 
 
-@query()
+@query("SELECT ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % greatest(1, (SELECT count(*) // 250 FROM articles)) AS batch, count(*) AS n FROM articles GROUP BY ALL")
 def batch_split(spark, d):
     return analysis.batches(articles(spark, d), 250).groupBy("batch").agg(F.count("*").alias("n"))
 
 
+def _archive(batches):
+    """Each page as a gzipped archive of a request and a response."""
+    for b in batches:
+        rows = []
+        for url, html in zip(b["url"], b["html"]):
+            http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (html or "").encode()
+            head = f"WARC-Target-URI: {url}\r\nContent-Length: "
+            ask = f"WARC/1.0\r\nWARC-Type: request\r\n{head}0\r\n\r\n\r\n\r\n".encode()
+            rows.append(gzip.compress(ask) + gzip.compress(f"WARC/1.0\r\nWARC-Type: response\r\n{head}{len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"))
+        yield pd.DataFrame({"content": rows})
+
+
+_TITLE = "trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'))"
+
+
+@query(f"SELECT url, {_TITLE} AS title, 'ok' AS status FROM pages WHERE regexp_matches(url, '^https?://([^/@]*[.])?example[.](com|org)(/|$)')", ())
+def warc_pages(spark, d):
+    files = _t(spark, d, "pages").select("url", "html").mapInPandas(_archive, "content binary")
+    return crawl.articles_from_warcs(files, ["example.com", "example.org"]).select("url", "title", "status")
+
+
 @query()
 def sample(spark, d):
     return filters.sample(articles(spark, d), 100).select("id", "url")
@@ -437,14 +474,17 @@ def lda_topics(spark, d):
     return analysis.find_topics(articles(spark, d))
 
 
-@query()
+@query("SELECT url, v AS embedding FROM articles JOIN node_sums USING (id)", (*_GRAPH, "vecs", "node_sums"))
 def news2vec_embedding(spark, d):
     t = _tfidf(spark, d)
     words = analysis.word_nodes(analysis.word_values(t)).select("word")
-    n = F.greatest(F.lit(1), _t(spark, d, "embeddings").agg(F.count("*").alias("n")).scalar())
-    vectors = words.withColumn("vec_id", F.pmod(F.xxhash64("word"), n)).join(_t(spark, d, "embeddings"), "vec_id").select(F.col("word").alias("token"), F.col("embedding").alias("token_embedding"))
-    return analysis.news2vec_embed(t, vectors).select("url", F.size("embedding").alias("width"))
+    return analysis.news2vec_embed(t, _vectors(spark, d, words)).select("url", _said("embedding").alias("embedding"))
+
 
+@query("SELECT id, text_top FROM (SELECT id, string_agg(word, ',' ORDER BY rank) AS text_top FROM top WHERE field = 'text' GROUP BY id) JOIN (SELECT DISTINCT id FROM top WHERE field = 'title') USING (id)", _TFIDF)
+def top_tfidf(spark, d):
+    words = F.array_join(F.transform(F.array_sort("text_top_n", lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["word"] < b["word"], -1).when(a["word"] > b["word"], 1).otherwise(0)), lambda x: x["word"]), ",")
+    return _tfidf(spark, d).select("id", words.alias("text_top"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

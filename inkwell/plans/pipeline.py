@@ -34,9 +34,22 @@ def embedding_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(f"`{first}`").alias("token"), F.array(*(F.col(f"`{c}`").cast("double") for c in rest)).alias("token_embedding"))
 
 
-def mongo_articles(spark: SparkSession, connection: str, database: str, collection: str) -> DataFrame:
-    """Needs the public MongoDB connector on the class path."""
-    return spark.read.format("mongodb").option("connection.uri", connection).option("database", database).option("collection", collection).load()
+def mongo_articles(spark: SparkSession, connection: str, database: str, collection: str, partition_mb: int = 4) -> DataFrame:
+    """Needs the public MongoDB connector on the class path; partition_mb: of documents that a task reads."""
+    return spark.read.format("mongodb").options(**mongo_options(connection, database, collection, partition_mb)).load()
+
+
+def mongo_options(connection: str, database: str, collection: str, partition_mb: int = 4) -> dict[str, str]:
+    return {"connection.uri": connection, "database": database, "collection": collection, "partitioner.options.partition.size": str(partition_mb)}
+
+
+def add_model(spark: SparkSession, archive: str) -> None:
+    """Ships a zipped model to every executor, unpacked in its working folder; a missing one raises FileNotFoundError."""
+    from pathlib import Path
+
+    if not Path(archive).exists():
+        raise FileNotFoundError(archive)
+    spark.sparkContext.addArchive(archive)
 
 
 @dataclass(frozen=True)
@@ -96,14 +109,15 @@ class Pipeline:
         """A further stage: a function of the frame, such as analysis.top_tfidf."""
         return replace(self, stages=(*self.stages, stage))
 
-    def top_tfidf(self, n: int, load_path: str | None = None, save_path: str | None = None):
+    def top_tfidf(self, n: int, load_path: str | None = None, save_path: str | None = None, lemmas: DataFrame | None = None):
         def stage(df):
-            df = analysis.with_tokens(df)
-            idf = df.sparkSession.read.parquet(load_path) if load_path else analysis.inverse_frequency(df)
+            if not load_path and not save_path:
+                return analysis.top_tfidf(df, n, lemmas=lemmas)
+            known = df.sparkSession.read.parquet(load_path) if load_path else analysis.inverse_frequency(analysis.with_tokens(df, lemmas))
             if save_path:
-                idf.write.mode("overwrite").parquet(save_path)
-                idf = df.sparkSession.read.parquet(save_path)
-            return analysis.top_tfidf(df, n, idf)
+                known.write.mode("overwrite").parquet(save_path)
+                known = df.sparkSession.read.parquet(save_path)
+            return analysis.top_tfidf(df, n, known, lemmas=lemmas)
 
         return self.then(stage)
 
@@ -175,11 +189,16 @@ class Pipeline:
             x.write.format("noop").mode("overwrite").save()
 
     def send_to(self, target: str, format: str = "parquet", spark: SparkSession | None = None, **options) -> None:
-        """Appends to a store: Parquet, CSV, JDBC, MongoDB or any other format on the class path."""
+        """Appends to a store: Parquet, CSV, JDBC, MongoDB or any other format on the class path. MongoDB's batches: maxBatchSize."""
         writer = self.result(spark).write.format(format).mode("append").options(**options)
         writer.save(target) if target else writer.save()
 
 
+def write_node_map(nodes: DataFrame, path: str) -> None:
+    """id and value a line."""
+    nodes.select(F.concat_ws(" ", F.col("id").cast("string"), "value").alias("value")).write.text(path)
+
+
 def write_edge_list(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in ("id1", "id2", "weight"))).alias("value")).write.text(path)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as X
 from inkwell.operators import analysis, filters
 from inkwell.plans import news
-from inkwell.plans.pipeline import Pipeline, csv_articles, embedding_csv, graph_csv, write_edge_list
+from inkwell.plans.pipeline import Pipeline, add_model, csv_articles, embedding_csv, graph_csv, mongo_options, write_edge_list, write_node_map
 from inkwell.sources import crawl
 
 SF = "/root/testdata/sf0.001"
@@ -163,6 +163,8 @@ def test_csv_and_edge_list(spark, tmp_path):
     _, edges = graph_csv(spark, str(tmp_path / "n.csv"), str(tmp_path / "e.csv"))
     write_edge_list(edges, str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["1 2 0.5"]
+    write_node_map(spark.createDataFrame([(1, "a,b")], "id bigint, value string"), str(tmp_path / "map"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "map")).collect()] == ["1 a,b"]
 
 
 def warc(url, html, kind="response", mime="text/html; charset=utf-8"):
@@ -189,7 +191,47 @@ def test_warc_articles(spark, tmp_path):
             raise OSError(name)
         return whole[offset : offset + length]
 
-    assert [r.url for r in crawl.articles_from_index(index, read).collect()] == ["http://a/1"]
+    got = crawl.articles_from_index(index, read).collect()
+    assert sorted((r.url, r.status) for r in got) == [("gone", "input failed"), ("http://a/1", "ok")]
+    counted, seen = crawl.counted(crawl.articles_from_index(index, read))
+    counted.collect()
+    assert seen.get == {"processed": 2, "failed": 0, "not_html": 0, "inputs_failed": 1}
+    row = ("http://a/1", "/1", "w", 0, n, "UTF-8", "C-2", "warc", "a", None)
+    cols = "url string, url_path string, warc_filename string, warc_record_offset int, warc_record_length int, content_charset string, crawl string, subset string, url_host_registered_domain string, content_languages string"
+    table = spark.createDataFrame([row, ("http://a/9", "/9", "gone", 0, 1, "UTF-8", "C-1", "warc", "a", None)], cols)
+    assert [r.url for r in crawl.crawl_articles(table, read, "all", start=date(2021, 9, 20), end=date(2021, 9, 20)).collect()] == ["http://a/1"]
+    assert crawl.crawl_articles(table, read, "C-2", keywords=["Two"]).count() == 1 and crawl.crawl_articles(table, read, "C-2", keywords=["None"]).count() == 0
+    assert crawl.crawl_articles(table, read, ["C-1"]).count() == 0 and crawl.crawl_articles(table, read, url_only=True).count() == 2
+    with pytest.raises(ValueError):
+        crawl.crawl_articles(table, read, "latest")
+
+
+def test_news_crawl_of_some_days(spark, tmp_path):
+    folder = str(tmp_path)
+    for day, urls in (("20210920", ["http://a.org/1", "http://b.org/2", "http://www.a.org/3"]), ("20211101", ["http://a.org/4"]), ("20210801", ["http://a.org/5"])):
+        body = b"".join(gzip.compress(warc(u, PAGE)) for u in urls) + gzip.compress(warc("http://a.org/x", "{}", mime="application/json"))
+        (tmp_path / f"CC-NEWS-{day}010203-00001.warc.gz").write_bytes(body)
+    paths = spark.createDataFrame([(f"{folder}/CC-NEWS-{d}010203-00001.warc.gz",) for d in ("20210920", "20211101", "20210801", "20210921")], "uri string")
+
+    def opened(uri):
+        return open(uri, "rb")
+
+    days = {"start": date(2021, 9, 1), "end": date(2021, 9, 30)}
+    assert {r.url for r in crawl.news_crawl_articles(paths, opened, **days).collect()} == {"http://a.org/1", "http://b.org/2", "http://www.a.org/3"}
+    assert {r.url for r in crawl.news_crawl_articles(paths, opened, ["a.org"], **days).collect()} == {"http://a.org/1", "http://www.a.org/3"}
+    every = crawl.articles_from_archives(paths, opened)
+    assert {(r.status, r["count"]) for r in every.groupBy("status").count().collect()} == {("ok", 5), ("not html", 3), ("input failed", 1)}
+    assert crawl.articles_from_archives(paths, opened, limit=4).count() == 3  # one an archive
+    assert crawl.news_crawl_articles(paths, opened, url_only=True, limit=2, **days).count() == 2
+
+
+def test_crawl_lists(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"id": "C-3", "name": "May 2022 Index"}, {"id": "C-2", "name": "March 2022 Index"}, {"id": "C-1", "name": "May 2021 Index"}]')
+    c = crawl.read_crawls(spark, str(tmp_path / "c.json"))
+    assert crawl.crawl_ids(c) == ["C-3", "C-2", "C-1"] and crawl.select_crawls(c, "latest") == ["C-3"]
+    assert crawl.select_crawls(c, since=date(2022, 3, 5)) == ["C-3", "C-2"] and crawl.select_crawls(c, "C-1") == ["C-1"] and crawl.select_crawls(c, "all") == "all"
+    with pytest.raises(ValueError):
+        crawl.select_crawls(c)
 
 
 def test_crawl_selection(spark, tmp_path):
@@ -211,8 +253,43 @@ def test_search(spark):
     q = crawl.search_query(["a b"], ["x.com", "y.org"], date(2024, 1, 1), date(2024, 1, 31))
     assert q == "a b site:x.com OR site:y.org after:2023-12-31 before:2024-02-01"
     assert crawl.search(spark, lambda query, start: [f"{query}{start + k}" for k in range(10)], "q", 15).count() == 15
+    for most in (5, 25):
+        with pytest.raises(ValueError):
+            crawl.search(spark, lambda query, start: [], "q", most)
+    assert {r.url for r in crawl.search(spark, lambda query, start: ["u", "v"] if start == 1 else [], "q", 30).collect()} == {"u", "v"}
+
+    def download(url):
+        if url == "v":
+            raise OSError(url)
+        return PAGE.encode()
+
+    got = crawl.search_articles(spark, lambda query, start: ["u", "v"] if start == 1 else [], download, ["x"], max_articles=20).collect()
+    assert [(r.url, r.title, r.publish_date) for r in got] == [("u", "New", datetime(2021, 9, 20, 1, 2, 3))]
     with pytest.raises(ValueError):
-        crawl.search(spark, lambda query, start: [], "q", 5)
+        crawl.link_to_article("v", download)
+    assert crawl.parse_article("u", PAGE, title="Given")["title"] == "Given"
+    assert crawl.dict_to_article({"url": "u", "title": "t", "text": "x", "publish_date": None})["text"] == "x"
+
+
+def test_mapping_vocabulary_and_lemmas(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([2.0, 3.0, 5.0])], "id bigint, x double")
+    assert {(r.id, r.y) for r in analysis.map_with_index(df, "id", "x", "y", lambda xs, k: [x * k for x in xs], k=2).collect()} == {(0, 4.0), (1, 6.0), (2, 10.0)}
+    t = spark.createDataFrame([("The cat, the DOG!",), (None,), ("",)], "t string")
+    ids = X.token_ids(F.col("t"), {"the": 1, "cat": 2, "dog": 3}, 3)
+    assert [r.i for r in t.select(ids.alias("i")).collect()] == [[2, 1, 3], None, [0, 0, 0]]
+    lemmas = spark.createDataFrame([("talks", "talk"), ("were", "be"), ("cats", "cat")], "word string, lemma string")
+    a = spark.createDataFrame([(1, "Talks were on", "cats, the cats")], "id bigint, title string, text string")
+    r = analysis.with_tokens(a, lemmas).first()
+    assert (r.title_tokens, r.text_tokens) == (["talk"], ["cat", "cat"])  # be and on are stop words
+    top = analysis.top_tfidf(a.unionByName(spark.createDataFrame([(2, "x", "y")], a.schema)), 5, lemmas=lemmas).where("id = 1").first()
+    assert [w.word for w in top.text_top_n] == ["cat"]
+
+
+def test_models_must_be_there(spark):
+    with pytest.raises(FileNotFoundError):
+        add_model(spark, "/tmp/no such model.zip")
+    assert mongo_options("c", "d", "e")["partitioner.options.partition.size"] == "4"
+    assert crawl.storage_options("k", "s")["spark.hadoop.fs.s3a.access.key"] == "k"
 
 
 def test_page_predicates(spark):
@@ -222,7 +299,7 @@ def test_page_predicates(spark):
     assert (r["all"], r["own"], r["og"], r["is"]) == (1.0, 0.6, True, True)
 
 
-SAMPLED = ["date_range", "keyword_tokens", "mentions_countries", "in_language", "tokenize", "tfidf_top_n_text", "tfidf_graph_edges", "node_values", "entity_dag_edges", "feature_pivot", "index_query", "crawls_since", "country_share"]
+SAMPLED = ["warc_pages", "embedding_sum", "news2vec_embedding", "entity_arrays", "date_range", "keyword_tokens", "mentions_countries", "in_language", "tokenize", "tfidf_top_n_text", "tfidf_graph_edges", "node_values", "entity_dag_edges", "feature_pivot", "index_query", "crawls_since", "country_share"]
 
 
 @pytest.mark.parametrize("name", SAMPLED)
