@@ -16,9 +16,10 @@ from inkwell.llm.queries import RANKS, REPETITION, held_out, pii_key
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the machine rejects; it learns from the labels that aren't held out."""
+    """Drops what the machine rejects; it learns from the labels that aren't held out. Empty texts stay where most labels are 0."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), train_where=~held_out(F.col("id")))
-    return toxicity.score(docs, machine).where("predicted = 0").select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")  # so that no column clashes
+    return toxicity.score(whole, machine, keep=["row"]).where("predicted = 0").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +34,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rewrites texts; n_chars follows."""
+    """Rewrites texts; n_chars follows, null for a null text."""
     return pii.pseudonyms(docs, pii_key(spark), counts=False).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources, up to REPETITION times their tokens."""
+    """Repeats documents of small sources, up to REPETITION times their tokens; none is lost."""
     return mixing.mix(docs, repetition=REPETITION)
 
 
@@ -52,6 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over documents, each reread from Parquet in the shared folder.
+
+    Null and empty texts pass the filters, one of them stays of each id, and encode as no ids; without documents there are no
+    rows. Columns beside those of documents are handed on until the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

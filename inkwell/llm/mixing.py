@@ -138,9 +138,10 @@ def mix(docs: DataFrame, repetition: float | None = None, entropy_share: float |
     # The epoch in which the budget ends takes what comes up to the cut.
     more = _key(F.col("__epochs"), source, F.col(f"`{id_col}`"), seed) <= F.col("__last")
     times = F.col("__epochs") + more.cast("bigint")
-    out = out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("bigint"), times - 1)).otherwise(F.array().cast("array<bigint>"))).alias("mix_epoch"))
+    out = out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("bigint"), times - 1)).otherwise(F.array().cast("array<bigint>"))).alias("__epoch"))
     if not marks:
-        return out.drop("mix_epoch")
+        return out.drop("__epoch")
+    out = out.drop("mix_epoch").withColumnRenamed("__epoch", "mix_epoch")
     key = _key(F.col("mix_epoch"), source, F.col(f"`{id_col}`"), seed)
     return out.withColumn("mix_key", key).withColumn("mix_block", F.conv(F.substring("mix_key", 1, 3), 16, 10).cast("int"))
 

@@ -29,47 +29,57 @@ def pii_key(spark: SparkSession) -> bytes:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as often as the mixture uses them: every one, none more than REPETITION times over its source. Null and empty texts have no tokens and stay; ties go by digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixing.mix(docs, repetition=REPETITION, marks=True)
     return out.select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"), "mix_epoch", "mix_key", "mix_block")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each whole text and what they decode to, as digests. Null and empty texts have no ids; repeated rows repeat."""
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), keep=["doc_id"], ids=False, decode=True)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of each row whose vec_id 20 divides, among all others; ties to the smaller vec_id."""
     v = table(spark, sf_dir, "embeddings")
     return topk.top_k(v, v.where("vec_id % 20 = 0"), k=20, scale=64)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of each whole text. Null and empty texts have none; repeated rows repeat."""
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 and more within a label, and their components. Vectors that can't be compared link with nothing."""
     return embed_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with personal data replaced, and counts of each kind. Null stays null, equal values stay equal."""
     return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a decision for each whole text, learnt from the labels that aren't held out. Empty texts get the bias."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), train_where=~held_out(F.col("id")))
     return toxicity.score(docs, machine, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many others each document links with at 60 percent of their word pairs, and its component. Texts without words link with nothing."""
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=2, percent=60)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each whole page. Null and empty pages have an empty one."""
     return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each whole text is, and the notices among its lines. Null and empty texts have none."""
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 

@@ -243,6 +243,8 @@ def test_secrets_equal_regular_expressions(spark):
     assert [r.spans for r in rows] == ["assign:4:23", "", "github:0:40"]
     assert rows[0].base_sha256 == hashlib.sha256(b"assign:4:23").hexdigest() and rows[1].n_hex == 0
     assert secret_scan.secret_scan(frame(spark, [])).count() == 0
+    twice = frame(spark, ["token: abcdefghijkl"] * 3).selectExpr("1 AS doc_id", "text", "text AS base_sha256", "text AS n_hex")
+    assert [(r.doc_id, r.n_assign, r.spans) for r in secret_scan.secret_scan(twice, keep=["doc_id"]).collect()] == [(1, 1, "assign:0:19")] * 3
 
 
 # --- embeddings
@@ -473,6 +475,19 @@ def test_toxicity_finds_insults(spark):
     assert toxicity.score(df.limit(0), m).count() == 0
 
 
+def test_toxicity_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(WORDS, k=20)) for _ in range(200)] + [" ".join(rng.choices(WORDS, k=9) + ["moron"]) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 500 + [(300, "w1 " * 400_000 + "moron"), (301, None), (301, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS __text", "1 AS predicted")
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(260)] * 2, "doc_id bigint, toxic int")
+    m = toxicity.train(df, labels, fit_rows=250)
+    got = toxicity.score(df, m, keep=["doc_id"]).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 0}) == 1
+    assert next(r for r in got if r.doc_id == 300).predicted == 1
+    assert len({r.score for r in got if r.doc_id == 301}) == 1
+
+
 # --- n-gram join
 
 
@@ -582,6 +597,12 @@ def test_html_unclosed_elements_and_modifiers():
         assert html_text.main_text(f"<div class='{kind}'><p>{long}</p><p>{long}</p></div>") == f"{long}\n{long}", kind
 
 
+def test_html_of_long_and_repeated_pages(spark):
+    long = "<article>" + "<p>Some words of it.</p>" * 60_000 + "</article>"
+    rows = html_text.extract(spark.createDataFrame([(1, long), (1, long), (None, "<p>x</p>")], "page_id bigint, html string").selectExpr("*", "'u' AS url", "1 AS n_chars")).collect()
+    assert [r.text.count("\n") for r in rows if r.page_id] == [59_999] * 2 and len(rows) == 3
+
+
 def test_html_tree_uses_words_and_link_density():
     tree, rates = html_text.trained()
     used = set()
