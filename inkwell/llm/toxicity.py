@@ -1,12 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its distinct words in lower case, and their first bytes, hashed into buckets. The machine adds a weight
-for each term and, for each pair of terms, the inner product of their factors, so that an insult beside a mention of a
+A text's terms are its distinct words in lower case, and stems of them, hashed into buckets: insults are inflected, and a
+stem is learnt from rows that never had the form at hand. The machine adds a weight for each term and, for each pair of terms, the inner product of their factors, so that an insult beside a mention of a
 group counts for more than the sum of both. It is fitted in the driver on at most `fit_rows` labelled rows, chosen by
 hash of their id, and every bucket that at least LEAST_ROWS of them have, so that terms which tell only in a pair take
 part too; scoring covers every text whole.
 
-Null and empty texts have no terms and get the machine's bias as their score. Labels are never inputs of a score.
+Terms of fewer than LEAST_ROWS rows of the sample have no weight, as nothing can be learnt from them; toxic rows, where they
+are the fewer, count up to HEAVIEST times. Null and empty texts have no terms and get the machine's bias as their score.
+Labels are never inputs of a score. Repeated rows have a score each; of several texts with one labelled id the least is learnt from.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _BYTE_LOWER, ceil_div, extend, pieces, settle, utf8, word_hashes
+from inkwell.llm.common import _BYTE_LOWER, ceil_div, extend, pieces, settle, trim, utf8, word_hashes
 
 BITS = 20
-HEADS = (4, 6)
+HEADS = (4, 6, 7)  # bytes of the stems that count as terms beside the whole word
 FIT_ROWS = 20_000
 FACTORS = 8
+HEAVIEST = 3.0  # how much a toxic row counts at most, where they are the fewer
 LEAST_ROWS = 3  # for a term to be learnt from
 LEAD, LEAD_GAIN = 1024, 2.0  # terms that are fitted first
 EPOCHS, RATE, EPS, START = (40, 15), 0.02, 1e-2, 0.01  # EPS holds rare terms back
@@ -113,6 +116,7 @@ def learn(slot: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors:
     """
     y, n, m = np.asarray(labels, np.float32), len(rows), max(1, int(slot.max()) + 1)
     base = (y.sum() + 0.5) / (n + 1)
+    heavy = min(HEAVIEST, max(1.0, (n - y.sum()) / max(1.0, y.sum())))
     rng = np.random.default_rng(seed)
     bias = np.full(1, np.log(base / (1 - base)), np.float32)
     p = np.concatenate([np.zeros((m, 1), np.float32), rng.normal(0, START, (m, factors)).astype(np.float32)], axis=1)  # weight, factors
@@ -141,7 +145,7 @@ def learn(slot: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors:
             s = np.stack([np.bincount(owner, c[each], len(i)) for c in q.T], axis=1)
             squares = np.bincount(owner, (q[:, 1:] ** 2).sum(axis=1)[each], len(i))
             z = bias[0] + s[:, 0] + 0.5 * ((s[:, 1:] ** 2).sum(axis=1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) / len(i)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * np.where(y[i] > 0, heavy, 1) / len(i)
             step += 1
             bias, *moments[0] = move(bias, np.float32(g.sum()), *moments[0])
             if len(seen):
@@ -169,16 +173,24 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     if train_where is not None:
         chosen = chosen.where(train_where)
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = settle(some.join(F.broadcast(chosen), "id").select("label", "text").mapInArrow(_rows, "label int, terms binary"), "labelled")
+    some = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    some = some.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    rows = settle(some.select("label", "text").mapInArrow(_rows, "label int, terms binary"), "labelled")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not n:
         return _none(FACTORS)
     counts = rows.mapInArrow(_counts, "bucket int, ones bigint, rows bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("rows").alias("rows"))
-    counts = counts.where(F.col("rows") >= LEAST_ROWS).orderBy("bucket").toPandas()
-    slot, lead = _order(*(counts[c].to_numpy() for c in ("bucket", "ones", "rows")), ones, n)
-    got = rows.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(slot)), "label int, terms binary").toPandas().sort_values(["terms", "label"])
-    return learn(slot, [np.frombuffer(t, np.int32) for t in got.terms], got.label.to_numpy(), lead=lead)
+    # One partition at a time comes to the driver: its memory follows the sample's terms, not their copies on the way.
+    counts = counts.where(F.col("rows") >= LEAST_ROWS).coalesce(8).mapInArrow(_packed, "rows binary")
+    counts = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(bytes(r.rows), np.int64).reshape(-1, 3) for r in counts.toLocalIterator())])
+    counts = counts[np.argsort(counts[:, 0])]
+    slot, lead = _order(*counts.T, ones, n)
+    packed = rows.mapInArrow(_chosen(docs.sparkSession.sparkContext.broadcast(slot)), "label int, terms binary")
+    got = sorted((bytes(r.terms), r.label) for r in packed.coalesce(16).toLocalIterator())
+    machine = learn(slot, [np.frombuffer(t, np.int32) for t, _ in got], np.array([y for _, y in got]), lead=lead)
+    del got
+    trim()
+    return machine
 
 
 def _counts(batches):
@@ -194,6 +206,11 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(ones[i]), pa.array(rows[i])], ["bucket", "ones", "rows"])
 
 
+def _packed(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy().astype(np.int64) for c in b.columns], axis=1).tobytes()], pa.binary())], ["rows"])
+
+
 def _chosen(slot):
     def run(batches):
         for b in batches:
