@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import Distinct, _spread, extend, trim, utf8
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 WORDS_A_QUERY = 20_000
 LONG = 200  # bytes of a piece from which on a step contracts all occurrences of its least pair
 ROWS_A_QUERY = 400_000
 MEMORY_MB = 160
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 _L, _N, _S, _O = 1, 2, 3, 0
 
 
@@ -264,7 +264,7 @@ class Codec:
         """(ids of all texts, end to end; n+1 offsets). data: UTF-8 bytes; offsets: of the texts in it."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(data) > 2 * CHUNK and len(cuts := _stops(data, offsets)) > 2:
+        if len(data) > 3 * CHUNK // 2 and len(cuts := _stops(data, offsets)) > 2:
             parts = [self.encode(data[a:z], np.array([0, z - a])) for a, z in zip(cuts, cuts[1:])]
             total = np.cumsum([0, *(len(ids) for ids, _ in parts)])
             return np.concatenate([ids for ids, _ in parts]), total[np.searchsorted(cuts, offsets)]

@@ -112,6 +112,7 @@ def pieces(batches, at: int, limit: int = 2 << 20):
 
 def trim() -> None:
     """Gives freed memory back, since workers live on after a task."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
