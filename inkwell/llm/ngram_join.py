@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _LOWER, ceil_div, mix, pieces, settle, utf8, word_digests
+from inkwell.llm.common import _LOWER, ceil_div, mix, pieces, settle, trim, utf8, word_digests
 from inkwell.llm.components import connected_components
 
 HOME_GRAMS = 650_000
@@ -124,10 +124,21 @@ class _Home:
             first.setdefault(d, i)
         self.digs, codec = sorted(first), pa.Codec("zstd")
         rows = [first[d] for d in self.digs]
-        data = b"".join(codec.decompress(texts[i], sizes[i], asbytes=True) for i in rows)
-        self.values, bounds = shingle_sets(np.frombuffer(data, np.uint8), np.concatenate([[0], np.cumsum([sizes[i] for i in rows])]).astype(np.int64), width)
+        values, counts, some, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+        for k, i in enumerate(rows):  # about a MB of text at a time, for what sets take on their way
+            some.append(codec.decompress(texts[i], sizes[i], asbytes=True))
+            held += sizes[i]
+            if held > 1 << 20 or k == len(rows) - 1:
+                v, b = shingle_sets(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64), width)
+                values.append(v)
+                counts.append(np.diff(b))
+                some, held = [], 0
+        self.values = np.concatenate(values)
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
         self.n = np.diff(bounds)
         self.ends = bounds[1:]
+        del values, texts
+        trim()
 
     def cells(self, bits: int):
         """Sorted distinct cells (leading bits) of all n-grams, and in how many sets' n-grams each occurs."""
