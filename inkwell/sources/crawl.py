@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import html as markup
 import io
 import re
 import zlib
@@ -177,7 +178,7 @@ def _headers(f) -> dict[str, str]:
 class _Reader(HTMLParser):
     def __init__(self):
         super().__init__()
-        self.meta, self.title, self.parts, self.skip, self.at = {}, "", [], 0, ""
+        self.meta, self.parts, self.skip, self.at = {}, [], 0, ""
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -199,12 +200,21 @@ class _Reader(HTMLParser):
             self.at = ""
 
     def handle_data(self, data):
-        if self.at == "title" and not self.title:
-            self.title = data.strip()
-        elif not self.skip and self.at == "p" and self.parts:
+        if not self.skip and self.at == "p" and self.parts:
             self.parts[-1] += data
 
 
+_TITLE, _END, _REFERENCE = re.compile("<title", re.I), re.compile("</title>", re.I), re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z]\w*);")
+
+
+def page_title(html: str) -> str:
+    """What the first title element holds, else ''. References count where a semicolon ends them: a cut one stays as it is."""
+    at = _TITLE.search(html)
+    start = html.find(">", at.end()) + 1 if at else 0
+    end = _END.search(html, start) if start else None
+    return _REFERENCE.sub(lambda m: markup.unescape(m.group()), html[start : end.start()]).strip() if end else ""
+
+
 _DATES = ("article:published_time", "datepublished", "date", "dc.date", "pubdate", "time")
 
 
@@ -215,7 +225,7 @@ def parse_article(url: str, html: str | bytes, charset: str | None = None, title
     r = _Reader()
     r.feed(html)
     when = next((m.group() for k in _DATES if (m := re.match(r"\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?", r.meta.get(k, "")))), None)
-    return {"url": url, "title": title or r.meta.get("og:title") or r.title, "text": "\n".join(p.strip() for p in r.parts if p.strip()), "publish_date": when and when.replace("T", " "), "og_type": r.meta.get("og:type"), "meta": r.meta}
+    return {"url": url, "title": title or r.meta.get("og:title") or page_title(html), "text": "\n".join(p.strip() for p in r.parts if p.strip()), "publish_date": when and when.replace("T", " "), "og_type": r.meta.get("og:type"), "meta": r.meta}
 
 
 def link_to_article(link: str, download) -> dict:

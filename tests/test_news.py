@@ -271,6 +271,18 @@ def test_search(spark):
     assert crawl.dict_to_article({"url": "u", "title": "t", "text": "x", "publish_date": None})["text"] == "x"
 
 
+def test_page_titles_keep_cut_references(spark):
+    for html, want in (
+        ("<title>Auf&amp</title>", "Auf&amp"),
+        ("<TITLE lang='x'> a &amp;&lt;&#39;b&am\n</Title><title>c</title>", "a &<'b&am"),
+        ("<title>&amp;lt; &copy 1</title>", "&lt; &copy 1"),
+        ("<title>open", ""),
+        ("<p>none</p>", ""),
+    ):
+        assert crawl.parse_article("u", html)["title"] == crawl.page_title(html) == want
+    assert crawl.page_title("<title" * 300_000) == crawl.page_title("<title>" * 300_000) == ""
+
+
 def test_mapping_vocabulary_and_lemmas(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([2.0, 3.0, 5.0])], "id bigint, x double")
     assert {(r.id, r.y) for r in analysis.map_with_index(df, "id", "x", "y", lambda xs, k: [x * k for x in xs], k=2).collect()} == {(0, 4.0), (1, 6.0), (2, 10.0)}
