@@ -3,12 +3,14 @@
 import gzip
 import itertools
 import random
+from collections import Counter
 from datetime import date, datetime
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.functions import terms
 from inkwell.functions import text as X
 from inkwell.operators import analysis, filters
 from inkwell.plans import news
@@ -90,6 +92,90 @@ def test_tokens_and_small_functions(spark):
     assert {r.id: r.t for r in X.lemmatise(df, "t", lemmas).collect()} == {1: ["talk", "go", "talk"], 2: [], 3: None}
 
 
+def told(spark, rows):
+    return spark.createDataFrame(rows, "id bigint, title_tokens array<string>, text_tokens array<string>")
+
+
+def best_words(spark, rows, n, saved=None):
+    """(id, word, title_value, title_rank, text_value, text_rank) by brute force."""
+    counts = {}
+    for i, title, text in rows:
+        for k, words in enumerate((title, text)):
+            for w in words or ():
+                counts.setdefault(i, {}).setdefault(w, [0, 0])[k] += 1
+    df = Counter(w for of in counts.values() for w in of)
+    lns = {r.c: r.x for r in spark.createDataFrame([(c,) for c in set(df.values())], "c int").select("c", F.ln((len(rows) + 1.0) / (F.col("c") + 1)).alias("x")).collect()}
+    idf = saved if saved is not None else {w: lns[c] for w, c in df.items()}  # Python's logarithm may differ in the last bit, and so rank otherwise
+    out = set()
+    for i, of in counts.items():
+        ranks = [{w: (v, r) for r, (v, w) in enumerate(sorted((-(tf[k] * idf[w]), w) for w, tf in of.items() if tf[k] and w in idf), 1) if r <= n} for k in (0, 1)]
+        out |= {(i, w, *(x for k in (0, 1) for x in ((round(-ranks[k][w][0], 9), ranks[k][w][1]) if w in ranks[k] else (None, None)))) for w in {*ranks[0], *ranks[1]}}
+    return out
+
+
+@pytest.mark.parametrize("known", [1, 7, 40, 10**6])
+@pytest.mark.parametrize("kind", ["own", "saved", "twice"])
+def test_best_words_equal_brute_force(spark, known, kind):
+    rng = random.Random(known)
+    words = [f"w{k:03}" for k in range(120)]
+
+    def some(most):
+        return rng.choices(words, [1 / (k + 1) for k in range(120)], k=rng.randrange(most))
+
+    rows = [(i // 2 if kind == "twice" else i, some(9) or None, some(90)) for i in range(60)] + [(98, None, None), (99, words[60:], words)]
+    saved = {w: rng.choice([-1.0, 0.0, 0.5, 2.0, rng.random()]) for w in words[::2]} if kind == "saved" else None
+    table = saved and spark.createDataFrame(list(saved.items()), "word string, idf double")
+    got = analysis.ranked_words(told(spark, rows), 5, table, known).collect()
+    assert {(r.id, r.word, *(x if x is None else round(x, 9) for x in r[2:])) for r in got} == best_words(spark, rows, 5, saved)
+
+
+def test_best_words_come_without_joining_or_shuffling_all_words(spark):
+    rows = [(i, [f"t{i}"], [f"w{(i + k) % 300}" for k in range(100)]) for i in range(50)]
+    plan = analysis.ranked_words(told(spark, rows), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 1 and "word" not in plan.split("hashpartitioning(", 1)[1].split(")")[0]
+    lists, _ = analysis.article_terms(told(spark, rows))
+    assert lists.count() == 50  # a row an article, no row a word
+    few = list(terms.candidates(iter(lists.toArrow().to_batches()), 3, (["w0"], [0.1]), 1.0, 2.0))
+    assert all(w != "w0" for b in few for w in b.column(1).to_pylist())
+
+
+def test_vectors_are_shuffled_whole(spark):
+    f = spark.createDataFrame([(0, "c", "d"), (1, "c", "e")], "id bigint, a string, b string")
+    e = spark.createDataFrame([("c", [0.0, 2.0]), ("d", [1.0, None, 5.0]), ("e", None)], "token string, token_embedding array<double>")
+    sums = analysis.accumulate_embeddings(f, e, ["a", "b"])
+    assert "explode" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.embedding for r in sums.collect()} == {0: [1.0, 2.0, 5.0], 1: [0.0, 2.0]}
+
+
+def test_word_values_read_the_best_words_once(spark, arts):
+    plan = analysis.word_values(analysis.top_tfidf(arts, 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "regexp_replace" not in plan
+
+
+def test_features_before_the_join_equal_those_after(spark, arts):
+    tfidf = analysis.top_tfidf(arts, 3)
+    own = analysis.node_values(tfidf, features=analysis.article_features(arts))
+    assert sorted(own.collect()) == sorted(analysis.node_values(tfidf).collect()) and own.count() > 0
+
+
+def test_models_read_each_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def looked(t):
+        seen.add(1)
+        return t
+
+    rows = [(i, "a", "good words here" if i % 2 else "other bad words", "u", datetime(2024, 1, 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, ARTICLE).withColumn("text", looked("text"))
+    assert analysis.find_topics(df, k=2).count() > 0
+    assert seen.value <= 80  # the filter may read a text beside the projection
+    seen.value = 0
+    model = analysis.fit_classifier(df.withColumn("label", (F.col("id") % 2).cast("double")), "label")
+    assert seen.value <= 80
+    assert analysis.classify(spark.createDataFrame(rows, ARTICLE), model).count() == 20
+
+
 def test_embedding_sums(spark, tmp_path):
     f = spark.createDataFrame([(0, "c", "d"), (1, "c", "c"), (2, "x", None)], "id bigint, a string, b string")
     e = spark.createDataFrame([("c", [0.0, 2.0]), ("d", [1.0, 0.0])], "token string, token_embedding array<double>")
