@@ -139,6 +139,31 @@ def test_best_words_come_without_joining_or_shuffling_all_words(spark):
     assert all(w != "w0" for b in few for w in b.column(1).to_pylist())
 
 
+def test_plain_articles_give_the_words_that_the_jvm_splits(spark):
+    odd = ["ΑΣ ΣΑΣ", "\u0178A\x0bB\x85c", "I\u0307İx", "\ua7c0\ua7d1 x", "good\u2003bad \U0001f600war", "", " ", "the THE", None, "日本 ÀÉ ß", "a\u0378b", "x\ufb01 \U00010570"]
+    odd += ["".join(f"{chr(c)}A{chr(c)} " for c in range(k, k + 512) if not 0xD800 <= c < 0xE000 and c != 10) for k in range(0, 0x1FC00, 512)]
+    df = spark.createDataFrame([(i, t, u, None, datetime(2024, 1, 1)) for i, (t, u) in enumerate(zip(odd, odd[3:] + odd[:3]))], ARTICLE)
+    told_by = [analysis.article_terms(x)[0].collect() for x in (df, analysis.with_tokens(df))]
+    plain, jvm = ({r.id: set(zip(r.words, r.title_tf, r.text_tf)) for r in rows} for rows in told_by)
+    assert plain == jvm and len(plain) == len(odd)
+    t = analysis.with_tokens(df)
+    want = t.select("id", analysis.length_bucket(analysis.token_total()).alias("length"), X.sentiment(F.col("text")).alias("mood"))
+    assert sorted(want.collect(), key=str) == sorted(analysis.article_features(df).select("id", "length", "mood").collect(), key=str)
+
+
+def test_terms_reach_the_jvm_in_pieces_and_no_text_is_split_there(spark):
+    df = spark.createDataFrame([(i, f"title t{'ab'[i % 2]}", "some words of a text", "u", datetime(2024, 1, 1)) for i in range(50)], ARTICLE).coalesce(1)
+    pieces, n = analysis.term_pieces(df)
+    assert n == 50 and pieces.count() == 1 and {(r.word, r.df) for r in pieces.select(F.inline(F.arrays_zip(F.col("words").alias("word"), "df"))).collect()} == {("title", 50), ("ta", 25), ("tb", 25), ("words", 50), ("text", 50)}
+    assert "lambda" not in analysis.article_features(df)._jdf.queryExecution().optimizedPlan().toString()  # words are filtered in Arrow batches
+
+
+def test_graph_works_its_values_out_once(spark, arts):
+    _, nodes, edges = analysis.tfidf_graph(analysis.top_tfidf(arts, 3))
+    for df in (nodes, edges):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_vectors_are_shuffled_whole(spark):
     f = spark.createDataFrame([(0, "c", "d"), (1, "c", "e")], "id bigint, a string, b string")
     e = spark.createDataFrame([("c", [0.0, 2.0]), ("d", [1.0, None, 5.0]), ("e", None)], "token string, token_embedding array<double>")
