@@ -258,6 +258,21 @@ def test_topics_know_every_word(spark):
     assert topics.where("topic = 0").select("word").distinct().count() == n
 
 
+def test_topic_vectors_count_each_word_kept(spark):
+    from pyspark.ml.clustering import LDA
+
+    seen = []
+    fit, LDA.fit = LDA.fit, lambda self, df, *a: seen.append(df) or fit(self, df, *a)
+    try:
+        rows = [(i, ["apple pear", "", "the"][i % 3], ["apple plum plum", "fig fig fig pear", ""][i % 3] + f" only{'abcdefghi'[i]} всё", "u", None) for i in range(9)] + [(9, None, "fig", "u", None), (10, "the", "", "u", None)]
+        topics = analysis.find_topics(spark.createDataFrame(rows, ARTICLE), k=2, words_each=20).collect()
+    finally:
+        LDA.fit = fit
+    got = sorted(tuple(sorted(r.features.values)) for r in seen[0].collect())
+    assert got == sorted(3 * [(1.0, 2.0, 2.0), (1.0, 3.0), ()])  # всё is in every article with words, only... in one
+    assert {r.word for r in topics} == {"apple", "pear", "plum", "fig"} and {r.features.size for r in seen[0].collect()} == {4}
+
+
 def test_entities(spark, arts):
     found = analysis.extract_entities(arts.where("id = 1"), lambda a, b: [("Peru", "GPE", 3), ("Peru", "GPE", 1), ("U.S.", "GPE", 0)])
     rows = analysis.first_mentions(analysis.blacklist(analysis.explode_entities(found), [r"^U\."]))
