@@ -201,6 +201,15 @@ def test_models_read_each_text_once(spark):
     assert analysis.classify(spark.createDataFrame(rows, ARTICLE), model).count() == 20
 
 
+def test_classifier_tokens_equal_those_of_the_jvm(spark):
+    rows = [(i, t, u, "u", None) for i, (t, u) in enumerate([("The b", "a c, ΑΣ Σ"), ("x", "Good war"), ("", ""), (None, "x"), ("y", None), ("the", "ß É日本 b a b"), ("Ω the", "")])]
+    df = spark.createDataFrame(rows, ARTICLE)
+    got = analysis._with_all_tokens(df)
+    want = df.select("id", X.tokens(X.all_text(F.col("title"), F.col("text"))).alias("tokens")).where("tokens is not null")
+    assert {(r.id, *r.tokens) for r in got.collect()} == {(r.id, *r.tokens) for r in want.collect()}
+    assert got.where("size(tokens) > 0")._jdf.queryExecution().optimizedPlan().toString().count("run(") == 1
+
+
 def test_embedding_sums(spark, tmp_path):
     f = spark.createDataFrame([(0, "c", "d"), (1, "c", "c"), (2, "x", None)], "id bigint, a string, b string")
     e = spark.createDataFrame([("c", [0.0, 2.0]), ("d", [1.0, 0.0])], "token string, token_embedding array<double>")
